@@ -92,5 +92,17 @@ FROM based
 """
 
 
+OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(h, 1 + 10 * (k // 8), 10))::BIGINT >> (35 - 5 * (k % 8))) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5, "op8_quality_rules": OP8}
+    return {"op3_warc": OP3, "op5_line_dedup": OP5, "op8_quality_rules": OP8}

@@ -7,8 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
-from . import line_dedup, quality_rules, sharding
+from ..runtime import cut, scratch_path, table
+from . import decontam, line_dedup, packing, quality_rules, sharding, warc
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), error_share=0.1)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_captures(table(spark, sf_dir, "pages"), path, least_revisit_bytes=0)
+    page = F.col("metadata")[0]["fields"]
+    captures = warc.assemble(warc.read_records(spark, path)).select(
+        "capture_id", "type", "refers_to",
+        F.struct(F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest")).alias("response"),
+        F.filter(page, lambda x: x["key"] == "page-id")[0]["value"].cast("long").alias("metadata"),
+    )
+    own = F.col("response")
+    whole = F.when(F.col("type") == "revisit", F.col("original.response")).otherwise(own)
+    return warc.resolve_revisits(cut(captures)).select(
+        F.col("metadata").alias("page_id"),
+        whole["payload_bytes"].alias("payload_bytes"),
+        whole["payload_digest"].alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.when(F.col("type") == "revisit", F.col("original.metadata")).alias("refers_to"),
+    )
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +46,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenise(table(spark, sf_dir, "documents"), tokenizer_path(), window=2048, with_ids=False)
+    return packing.pack(cut(pieces), capacity=2048)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -35,4 +70,4 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_line_dedup, op8_quality_rules, op9_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op3_warc, op5_line_dedup, op6_packing, op8_quality_rules, op9_sharding)}
