@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, scratch_path, table
-from . import decontam, line_dedup, packing, quality_rules, sharding, warc
+from . import decontam, line_dedup, near_dup, packing, quality_rules, sharding, warc
 
 
 def tokenizer_path() -> str:
@@ -51,6 +51,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut(pieces), capacity=2048)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), n=5, threshold=0.8).drop("node")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -70,4 +74,4 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_warc, op5_line_dedup, op6_packing, op8_quality_rules, op9_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op3_warc, op5_line_dedup, op6_packing, op7_jaccard_join, op8_quality_rules, op9_sharding)}
