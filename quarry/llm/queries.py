@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, scratch_path, table
-from . import decontam, line_dedup, near_dup, packing, quality_rules, sharding, warc
+from . import decontam, line_dedup, near_dup, packing, quality_rules, sharding, suffix_dedup, warc
 
 
 def tokenizer_path() -> str:
@@ -73,5 +73,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, window=200).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_warc, op5_line_dedup, op6_packing, op7_jaccard_join, op8_quality_rules, op9_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op3_warc, op5_line_dedup, op6_packing, op7_jaccard_join, op8_quality_rules, op9_sharding, op10_suffix_array)}

@@ -97,3 +97,83 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
         at = np.where(values[right] <= values[left], right, left)
         reach += step
     return at
+
+
+#: Symbols of a block: positions take the low bits beside a hash.
+BLOCK = 1 << 20
+_PLACE = np.uint64((1 << 21) - 1)
+
+
+def blocks(lengths: list[int], window: int):
+    """Lists of (sequence, start, end) that hold up to BLOCK symbols together.
+
+    A sequence longer than a block is cut into parts that overlap by a window less one, so that each window lies in
+    just one part.
+    """
+    held, size = [], 0
+    for k, n in enumerate(lengths):
+        start = 0
+        while n - start >= window:
+            end = min(n, start + BLOCK)
+            if size + end - start > BLOCK and held:
+                yield held
+                held, size = [], 0
+            held.append((k, start, end))
+            size += end - start
+            start = end - window + 1
+    if held:
+        yield held
+
+
+def anchor_runs(symbols: np.ndarray, offsets: np.ndarray, gram: int, window: int) -> dict[str, np.ndarray]:
+    """Winnowing: which gram each window of a block's sequences selects, as runs of windows that share it.
+
+    Of a window's grams that with the least hash is its anchor, so the anchor follows from the window's content. Arrays:
+    part (index of the sequence), anchor, low and high (first and last window start of the run), all counted from the
+    sequence's start; mark (hash of the gram) and context (hash of everything the run's windows cover, and how it lies
+    around the anchor).
+    """
+    runs, n = Stretches(symbols), len(symbols)
+    wide = window - gram + 1
+    grams = runs.prefix[gram:] - runs.prefix[:-gram]
+    grams = mix(grams * _INVERSES.upto(n + 1)[: len(grams)] + np.uint64(gram))
+    packed = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+    pad = -len(packed) % wide
+    table = np.concatenate([packed, np.full(pad, np.iinfo(np.uint64).max)]).reshape(-1, wide)
+    ahead = np.minimum.accumulate(table, axis=1).ravel()
+    behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(behind[: len(packed) - wide + 1], ahead[wide - 1 : len(packed)]) & _PLACE
+
+    sizes = np.diff(offsets)
+    windows = np.maximum(sizes - window + 1, 0)
+    part = np.repeat(np.arange(len(sizes)), windows)
+    start = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(offsets[:-1], windows)
+    anchor = least[start].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
+    last = np.concatenate([first[1:] - 1, [len(anchor) - 1]]) if len(first) else first
+    low, high, at, of = start[first], start[last], anchor[first], part[first]
+    context = mix(runs.hash(low, high + window) + (at - low).astype(np.uint64))
+    base = offsets[:-1][of] if len(of) else low
+    return {"part": of, "anchor": at - base, "low": low - base, "high": high - base, "mark": grams[at], "context": context}
+
+
+#: A run of windows as one long: first window start, then the anchor's and the last start's distance from it.
+def pack_run(low: np.ndarray, anchor: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return (low << 24) | ((anchor - low) << 12) | (high - low)
+
+
+def unpack_run(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    low = run >> 24
+    return low, low + ((run >> 12) & 4095), low + (run & 4095)
+
+
+def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """The union of intervals [start, end) as disjoint intervals that don't touch."""
+    order = np.argsort(starts, kind="stable")
+    out: list[tuple[int, int]] = []
+    for a, b in zip(starts[order].tolist(), ends[order].tolist()):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
