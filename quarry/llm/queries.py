@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, scratch_path, table
-from . import decontam, line_dedup, near_dup, packing, quality_rules, sharding, suffix_dedup, warc
+from . import decontam, license_scan, line_dedup, near_dup, packing, quality_rules, sharding, suffix_dedup, warc
 
 
 def tokenizer_path() -> str:
@@ -41,6 +41,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.remove_copied(docs, window=50).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -81,4 +86,4 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_warc, op5_line_dedup, op6_packing, op7_jaccard_join, op8_quality_rules, op9_sharding, op10_suffix_array)}
+    return {f.__name__: f for f in (op1_decontamination, op3_warc, op4_license_scan, op5_line_dedup, op6_packing, op7_jaccard_join, op8_quality_rules, op9_sharding, op10_suffix_array)}
