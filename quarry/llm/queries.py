@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, scratch_path, table
-from . import decontam, license_scan, line_dedup, near_dup, packing, quality_rules, sharding, suffix_dedup, warc
+from . import decontam, license_scan, line_dedup, near_dup, packing, quality_rules, sharding, suffix_dedup, suffix_trees, warc
 
 
 def tokenizer_path() -> str:
@@ -21,6 +21,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), error_share=0.1)
 
 
+def op2_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_trees.remove_later(table(spark, sf_dir, "documents"), min_words=50).drop("spans")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_captures(table(spark, sf_dir, "pages"), path, least_revisit_bytes=0)
@@ -86,4 +90,4 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_warc, op4_license_scan, op5_line_dedup, op6_packing, op7_jaccard_join, op8_quality_rules, op9_sharding, op10_suffix_array)}
+    return {f.__name__: f for f in (op1_decontamination, op2_suffix_trees, op3_warc, op4_license_scan, op5_line_dedup, op6_packing, op7_jaccard_join, op8_quality_rules, op9_sharding, op10_suffix_array)}
