@@ -7,7 +7,9 @@ a hash share of the pieces whose number grows with the table, so a task holds a
 from __future__ import annotations
 
 import functools
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Distinct words a worker remembers the ids of; beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: Distinct words a worker remembers the ids of, some 200 MB; beyond it the half learned last is forgotten, as frequent
+#: words are met early.
+REMEMBERED = 800_000
+
+
+def ids_as_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    held = array("I", ids)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
 
 
 class Words(dict):
@@ -38,20 +49,20 @@ class Words(dict):
     def learn(self, parts: set[str]) -> None:
         new = list(parts.difference(self))
         for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[part] = np.array(found.ids, dtype="<u4").tobytes()
+            self[part] = ids_as_bytes(found.ids)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; words new to a block of texts are tokenised together."""
         if len(self) > REMEMBERED:
-            self.clear()
+            for part in list(self)[REMEMBERED // 2 :]:
+                del self[part]
         split = [None if "  " in t or not t else t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else None for t in texts]
         self.learn({p for parts in split if parts for p in parts})
         for t, parts in zip(texts, split):
             if parts is not None:
                 yield b"".join(map(self.__getitem__, parts))
             else:
-                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
-                yield np.array(ids, dtype="<u4").tobytes()
+                yield ids_as_bytes(self.tokenizer.encode(t, add_special_tokens=False).ids)
 
 
 @functools.lru_cache(maxsize=2)
