@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lexical
+from . import graph, lexical
 
-MODULES = (lexical,)
+MODULES = (lexical, graph)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
