@@ -313,7 +313,10 @@ def null_text(c: Column) -> Column:
     return F.when(~c.isin("", "NULL", "null"), c)
 
 
+# Fixed values.
 ROMAN = "(?i)^[ivxlcdm]+$"
+LEADER = r"(?:[.·․…] ?){2,}\s*$"
+# End of fixed values.
 
 
 def roman_value(token: Column) -> Column:
@@ -327,13 +330,13 @@ def roman_value(token: Column) -> Column:
 
 def page_number(token: Column) -> Column:
     """struct(no, roman) of a page token, with letters that scanning confuses with digits repaired; null if none."""
-    bare = F.rtrim(strip(token), F.lit("."))
-    plain = strip(token)
-    repaired = F.translate(plain, "Il|OoSsB", "11100558")
+    plain = F.btrim(strip(F.regexp_replace(token, LEADER, "")), F.lit("()[]"))
+    repaired = F.replace(F.translate(plain, "Il|OoSsB", "11100558"), F.lit(" "), F.lit(""))
+    found = lambda c, roman: F.struct(c.alias("no"), F.lit(roman).alias("roman"))
     return (
-        F.when(plain.rlike(r"^\d{1,4}$"), F.struct(plain.try_cast("int").alias("no"), F.lit(False).alias("roman")))
-        .when(plain.rlike(r"(?i)^[ivxlcdm]{1,7}$"), F.struct(roman_value(plain).alias("no"), F.lit(True).alias("roman")))
-        .when(plain.rlike(r"^[\dIl|OoSsB]{1,4}$") & repaired.rlike(r"^\d{1,4}$") & (bare == plain), F.struct(repaired.try_cast("int").alias("no"), F.lit(False).alias("roman")))
+        F.when(plain.rlike(r"^\d{1,4}$"), found(plain.try_cast("int"), False))
+        .when(plain.rlike(r"(?i)^[ivxlcdm]{1,7}$"), found(roman_value(plain), True))
+        .when(repaired.rlike(r"^\d{1,4}$") & plain.rlike(r"\d"), found(repaired.try_cast("int"), False))
     )
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
@@ -166,25 +170,51 @@ def debates(works: DataFrame, vectors: DataFrame, percentile: float = 0.66, k: i
     return found.withColumnsRenamed({"query": "anchor", "other": "newer"})
 
 
+#: Works that one pass over the records looks for.
+WORK_BLOCK = 20_000
+
+
 def linked(works: DataFrame, records: DataFrame, share: float = 0.7) -> DataFrame:
     """work, doi: the first record with a DOI whose title and first author agree with the work's name.
 
-    Candidates share a title word, the work's rarest one, or hold it split; only they are compared.
+    A word of the work's title counts if the record's words, joined, hold it. One automaton over the words of a block of
+    works finds all of them in one pass over each record's title; no pair of work and record is formed beforehand.
     """
     from ..functions import text as X
 
-    titled = records.filter(F.coalesce(F.col("doi"), F.lit("")) != "")
-    words = X.name_words(X.title_after(F.col("work")))
-    wanted = works.select("work", F.explode(words).alias("word"))
-    found = titled.select("pos", F.explode(F.array_distinct(X.name_words(F.col("title")))).alias("word"))
-    rare = found.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    # a share of 0.7 of n words leaves out at most floor(0.3 n): that many and one more of the rarest words must include a hit
-    most = F.floor((1 - share) * F.count(F.lit(1)).over(Window.partitionBy("work")) + 1e-9) + 1
-    place = F.row_number().over(Window.partitionBy("work").orderBy(F.coalesce("df", F.lit(0)), "word"))
-    keys = wanted.join(rare, "word", "left").select("work", "word", place.alias("place"), most.alias("most")).filter("place <= most")
-    pairs = keys.join(found, "word").select("work", "pos").distinct()
-    candidates = pairs.join(titled, "pos")
-    first = F.get(X.name_words(X.authors_of(F.col("work"))), F.lit(0))
-    author = first.isNull() | F.contains(F.lower(F.array_join("authors", " ")), first)
-    good = candidates.filter((X.title_share(X.title_after(F.col("work")), F.col("title")) >= share) & author)
-    return good.groupBy("work").agg(F.min_by(X.strip(F.col("doi")), F.col("pos")).alias("doi"))
+    titled = records.filter(F.coalesce(F.col("doi"), F.lit("")) != "").select(
+        "pos", X.strip(F.col("doi")).alias("doi"), F.array_join(X.name_words(F.col("title")), "").alias("joined"), F.lower(F.array_join("authors", " ")).alias("names")
+    )
+    wanted = works.select("work", X.name_words(X.title_after(F.col("work"))).alias("words"), F.get(X.name_words(X.authors_of(F.col("work"))), F.lit(0)).alias("author")).distinct()
+    blocks, out = max(1, -(-wanted.count() // WORK_BLOCK)), None
+    for block in range(blocks):
+        part = [(r.work, list(r.words), r.author) for r in wanted.filter(F.pmod(F.xxhash64("work"), F.lit(blocks)) == block).collect() if r.words]
+        held = works.sparkSession.sparkContext.broadcast(part)
+
+        def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            automaton, of = ahocorasick.Automaton(), {}
+            for k, (_, words, _) in enumerate(held.value):
+                for w in words:
+                    of.setdefault(w, []).append(k)
+            for w, ks in of.items():
+                automaton.add_word(w, np.array(ks))
+            if of:
+                automaton.make_automaton()
+            size = np.array([len(words) for _, words, _ in held.value])
+            for frame in frames:
+                rows = []
+                for pos, doi, joined, names in zip(frame["pos"], frame["doi"], frame["joined"], frame["names"]):
+                    found = {id(ks): ks for _, ks in automaton.iter(joined)} if of else {}
+                    if found:
+                        hits = np.bincount(np.concatenate(list(found.values())), minlength=len(size))
+                        for k in np.flatnonzero(hits >= share * size - 1e-12):
+                            work, _, author = held.value[k]
+                            if author is None or author in names:
+                                rows.append((work, pos, doi))
+                yield pd.DataFrame(rows, columns=["work", "pos", "doi"])
+
+        got = titled.mapInPandas(run, "work string, pos long, doi string")
+        out = got if out is None else out.unionByName(got)
+    return out.groupBy("work").agg(F.min_by("doi", "pos").alias("doi"))

@@ -129,7 +129,7 @@ def merge_continuations(texts: Column) -> Column:
     start = F.array().cast(NONE)
 
     def step(done: Column, p: Column) -> Column:
-        last = F.element_at(done, -1)
+        last = F.try_element_at(done, F.lit(-1))
         joined = X.norm(concat_lines(last, p))
         return F.when(
             (F.size(done) > 0) & continues(F.coalesce(last, F.lit("")), p), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))
@@ -143,7 +143,7 @@ def run_lengths(labels: Column) -> Column:
     start = F.array().cast("array<struct<label:string,n:int>>")
 
     def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
+        last = F.try_element_at(done, F.lit(-1))
         more = F.struct(x.alias("label"), (last["n"] + 1).alias("n"))
         return F.when((F.size(done) > 0) & last["label"].eqNullSafe(x), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(more))).otherwise(
             F.concat(done, F.array(F.struct(x.alias("label"), F.lit(1).alias("n"))))
@@ -177,8 +177,8 @@ def increasing_runs(numbers: Column) -> Column:
     start = F.array().cast("array<array<int>>")
 
     def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        return F.when((F.size(done) > 0) & (x > F.element_at(last, -1)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, F.array(x))))).otherwise(
+        last = F.try_element_at(done, F.lit(-1))
+        return F.when((F.size(done) > 0) & (x > F.try_element_at(last, F.lit(-1))), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, F.array(x))))).otherwise(
             F.concat(done, F.array(F.array(x)))
         )
 
@@ -187,7 +187,7 @@ def increasing_runs(numbers: Column) -> Column:
 
 def missing_numbers(numbers: Column) -> Column:
     """What is left out in rising runs of three or more."""
-    gaps = F.transform(F.filter(increasing_runs(numbers), lambda r: F.size(r) >= 3), lambda r: F.array_except(F.sequence(F.element_at(r, 1), F.element_at(r, -1)), r))
+    gaps = F.transform(F.filter(increasing_runs(numbers), lambda r: F.size(r) >= 3), lambda r: F.array_except(F.sequence(F.element_at(r, 1), F.try_element_at(r, F.lit(-1))), r))
     return F.array_sort(F.array_distinct(F.flatten(gaps)))
 
 

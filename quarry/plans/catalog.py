@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph, lexical
+from . import graph, lexical, relational, sequences
 
-MODULES = (lexical, graph)
+MODULES = (lexical, graph, sequences, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
