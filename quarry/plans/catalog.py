@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph, lexical, relational, sequences
+from . import graph, lexical, pages, relational, sequences
 
-MODULES = (lexical, graph, sequences, relational)
+MODULES = (lexical, graph, sequences, relational, pages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
