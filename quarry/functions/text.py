@@ -51,6 +51,11 @@ FIELD_ALIASES = {
 WHITE = " \t\n\x0b\x0c\r"
 
 
+def let(value: Column, body) -> Column:
+    """The body with the value worked out once, however often it uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE))
 

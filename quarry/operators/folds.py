@@ -199,9 +199,12 @@ def inversions(numbers: Column) -> Column:
 
 def trim_to_target(text: Column, target: int) -> Column:
     """Filler phrases go one by one until the word count is met."""
+    def shorter(pattern: str, put: str):
+        cut = lambda t: X.strip(F.regexp_replace(F.regexp_replace(t, f"(?i){pattern}", put), "  +", " "))
+        return lambda t: F.when(X.word_count(t) > target, cut(t)).otherwise(t)
+
     for pattern, put in TRIMS:
-        shorter = X.strip(F.regexp_replace(F.regexp_replace(text, f"(?i){pattern}", put), "  +", " "))
-        text = F.when(X.word_count(text) > target, shorter).otherwise(text)
+        text = X.let(text, shorter(pattern, put))
     return text
 
 

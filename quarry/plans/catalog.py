@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph, lexical, pages, relational, sequences
+from . import graph, lexical, pages, relational, sequences, streams
 
-MODULES = (lexical, graph, sequences, relational, pages)
+MODULES = (lexical, graph, sequences, relational, pages, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
