@@ -345,14 +345,26 @@ def page_number(token: Column) -> Column:
     )
 
 
+# Fixed values.
+NUMBER_WORDS = (
+    r"(?:twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety)(?:[-\s](?:one|two|three|four|five|six|seven|eight|nine))?"
+    r"|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen"
+    r"|one|two|three|four|five|six|seven|eight|nine"
+    r"|first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|eleventh|twelfth|thirteenth|fourteenth|fifteenth|sixteenth"
+    r"|seventeenth|eighteenth|nineteenth|twentieth"
+)
+PART = r"(?i)^(?:part|teil|unit)\b"
+DOTTED = r"^(\d{1,3}(?:\.\d{1,3}){0,3})[.:)]?\s"
+ORDINAL_TITLE = r"(?i)^(?:(?:chapter|kapitel)\s+\S|[ivxlcdm]{1,7}[.:)]?\s|(?:" + NUMBER_WORDS + r")[.:)]?\s)"
+CHAPTER_HEADING = r"(?i)^\s*#*\s*(?:chapter|kapitel|part|teil)\s+(?:\d{1,3}|[ivxlcdm]+|" + NUMBER_WORDS + r")\b"
+# End of fixed values.
+
+
 def numbered_depth(title: Column) -> Column:
     """Level that a heading's numbering gives: part 0, dots + 1 up to 3, chapter ordinals 1, else null."""
-    number = F.regexp_extract(title, r"^\s*(\d+(?:\.\d+)*)\.?\s", 1)
-    return (
-        F.when(title.rlike(r"(?i)^\s*part\s+(\d+|[ivxlcdm]+)\b"), 0)
-        .when(number != "", F.least(F.size(F.split(number, r"\.")), F.lit(3)))
-        .when(title.rlike(r"(?i)^\s*chapter\s+(\d+|[ivxlcdm]+)\b"), 1)
-    )
+    t = strip(title)
+    number = F.regexp_extract(t, DOTTED, 1)
+    return F.when(t.rlike(PART), 0).when(number != "", F.least(F.size(F.split(number, r"\.")), F.lit(3))).when(t.rlike(ORDINAL_TITLE), 1)
 
 
 def numbered_list(items: Column) -> Column:

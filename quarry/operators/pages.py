@@ -157,7 +157,7 @@ def file_features(files: DataFrame) -> DataFrame:
     body = F.filter(lines, lambda x: (X.strip(x) != "") & ~F.startswith(x, F.lit("#")))
     refs = F.filter(body, lambda x: x.rlike(REFERENCE_LINE) | x.rlike(CITATION))
     paras = F.filter(F.split("text", r"\n\s*\n"), lambda p: (X.strip(p) != "") & ~F.startswith(F.ltrim(p), F.lit("#")))
-    heads = F.filter(lines, lambda x: X.strip(x).rlike(r"(?i)^#{1,6}\s*(?:chapter|part)\s+(?:\d+|[ivxlcdm]+)\b"))
+    heads = F.filter(lines, lambda x: F.startswith(F.ltrim(x), F.lit("#")) & X.strip(x).rlike(X.CHAPTER_HEADING))
     score = F.when(F.size(body) > 0, F.size(refs) / F.size(body)).otherwise(0.0)
     return files.withColumns({"chars": F.length(X.strip(F.col("text"))), "paras": F.size(paras), "ref_score": score, "chapter_heads": F.size(heads)})
 
@@ -239,18 +239,19 @@ def chapters_by_marker(raw: Column) -> Column:
 
 
 def nearest_snap(bounds: DataFrame, targets: DataFrame, window: int) -> DataFrame:
-    """doc, bound, snapped: each bound moved to the nearest target in the window, unless another bound is nearer.
+    """doc, bound, snapped: each bound moved to its nearest target in the window, unless another bound is nearer to it.
 
-    Targets and bounds meet in buckets as wide as the window, so a bound is compared with three buckets only.
+    Targets and bounds meet in buckets as wide as the window, so a bound is compared with three buckets only. The first
+    bound, 0, stays.
     """
     bucket = lambda c: F.floor(F.col(c) / window)
     near = bounds.select("doc", "bound", F.explode(F.array(*[bucket("bound") + d for d in (-1, 0, 1)])).alias("b"))
     t = targets.select("doc", "target", bucket("target").alias("b"))
     met = near.join(t, ["doc", "b"]).withColumn("gap", F.abs(F.col("bound") - F.col("target"))).filter(F.col("gap") <= window)
-    closest = Window.partitionBy("doc", "target").orderBy("gap", "bound")
-    owned = met.withColumn("r", F.row_number().over(closest)).filter("r = 1")
-    best = owned.groupBy("doc", "bound").agg(F.min(F.struct("gap", "target")).alias("m"))
-    return bounds.join(best, ["doc", "bound"], "left").select("doc", "bound", F.coalesce("m.target", "bound").alias("snapped"))
+    met = met.withColumn("least", F.min("gap").over(Window.partitionBy("doc", "target")))
+    best = met.groupBy("doc", "bound").agg(F.min(F.struct("gap", "target", "least")).alias("m"))
+    moves = (F.col("bound") != 0) & (F.col("m.gap") == F.col("m.least"))
+    return bounds.join(best, ["doc", "bound"], "left").select("doc", "bound", F.when(moves, F.col("m.target")).otherwise(F.col("bound")).alias("snapped"))
 
 
 def seam_broken(before: Column, after: Column) -> Column:
