@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph, lexical, pages, relational, sequences, streams
+from . import graph, lexical, pages, relational, reviews, sequences, streams
 
-MODULES = (lexical, graph, sequences, relational, pages, streams)
+MODULES = (lexical, graph, sequences, relational, pages, reviews, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -101,7 +101,7 @@ WITH b AS (SELECT DISTINCT o_custkey % 20 AS doc, o_orderkey AS bound FROM order
 t AS (SELECT DISTINCT o_custkey % 20 AS doc, o_orderkey + 3 AS target FROM orders WHERE o_orderkey % 23 = 0),
 m AS (SELECT b.doc, bound, target, abs(bound - target) AS gap FROM b JOIN t ON b.doc = t.doc AND abs(bound - target) <= 400),
 n AS (SELECT *, gap = least0 AS own FROM (SELECT *, min(gap) OVER (PARTITION BY doc, target) AS least0 FROM m) QUALIFY row_number() OVER (PARTITION BY doc, bound ORDER BY gap, target) = 1)
-SELECT b.doc, b.bound, CASE WHEN n.own THEN n.target ELSE b.bound END AS snapped FROM b LEFT JOIN n ON b.doc = n.doc AND b.bound = n.bound
+SELECT b.doc, b.bound, CASE WHEN n.own AND b.bound <> 0 THEN n.target ELSE b.bound END AS snapped FROM b LEFT JOIN n ON b.doc = n.doc AND b.bound = n.bound
 """
 
 
