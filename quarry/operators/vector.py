@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 # Fixed values.
 EPSILON = 1e-9
 RETRIEVE_TOP_K, RELATED_TOP_K, CENTRAL_MEMBERS = 8, 10, 20
@@ -78,6 +80,32 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def scores(rows: DataFrame, query: list[float], id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """id, score of every row against one vector."""
+    return rows.filter(F.col(vec_col).isNotNull()).select(id_col, cosine(F.col(vec_col), F.array(*[F.lit(float(x)) for x in query])).alias("score"))
+
+
+def global_rank(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows with ``rank`` from 1 over the whole table, without one task for all of them.
+
+    A range sort deals the rows out; a checkpoint fixes where they lie; each part ranks its own rows and adds the sizes
+    of the parts before it, of which there are as many as partitions.
+    """
+    placed = cut(rows.orderBy(*order).withColumn("__p", F.spark_partition_id()))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return placed.withColumn("__own", own).join(F.broadcast(starts), "__p").withColumn("rank", F.col("__before") + F.col("__own")).drop("__p", "__own", "__before")
+
+
+def hybrid(rows: DataFrame, query: list[float], lexical_scores: DataFrame, k: int = RETRIEVE_TOP_K, id_col: str = "vec_id") -> DataFrame:
+    """doc, rrf, score (the cosine), dense: the k best by fused ranks, ties in dense order."""
+    dense = global_rank(scores(rows, query, id_col).withColumnRenamed(id_col, "doc"), [F.round("score", 9).desc(), F.col("doc")])
+    lexical = global_rank(lexical_scores, [F.round("score", 9).desc(), F.col("doc")])
+    fused = fuse(dense, lexical).join(dense.select("doc", F.col("rank").alias("dense"), "score"), "doc")
+    return fused.orderBy(F.round("rrf", 12).desc(), "dense").limit(k).select("doc", "rrf", "score", "dense")
+
+
 def centroids(rows: DataFrame, by: str, vec_col: str = "embedding") -> DataFrame:
     """group, centroid: mean of unit vectors, element by element, map-combined."""
     unit = rows.withColumn("__n", norm(F.col(vec_col)) + EPSILON).select(by, "__n", F.posexplode(vec_col).alias("i", "x"))

@@ -69,13 +69,9 @@ def hybrid_rrf(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(vectors.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
     asked = vectors.filter("vec_id = 7")
     known = vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    dense = V.search(known, asked, 1 << 30, skip_self=False).select(F.col("other").alias("doc"), "rank", "score")
-    scored = L.okapi(docs, "doc_id", X.search_tokens(F.col("text")), TERMS)
-    from pyspark.sql import Window
-
-    lexical = scored.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "doc")))
-    fused = V.fuse(dense, lexical).join(dense.select("doc", F.col("rank").alias("dense"), "score"), "doc")
-    return fused.orderBy(F.round("rrf", 12).desc(), "dense").limit(8).select(F.col("doc").alias("doc_id"), F.round("rrf", 6).alias("rrf"), F.round("score", 6).alias("score"))
+    lexical = L.okapi(docs, "doc_id", X.search_tokens(F.col("text")), TERMS)
+    found = V.hybrid(known, asked.first()["embedding"], lexical)
+    return found.select(F.col("doc").alias("doc_id"), F.round("rrf", 6).alias("rrf"), F.round("score", 6).alias("score"))
 
 
 HYBRID = f"""
