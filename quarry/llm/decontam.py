@@ -2,7 +2,10 @@
 
 An item with an error budget of k is split into k + 1 pieces: a passage within k edits of it holds one piece unchanged.
 An automaton finds all pieces' exact hits in one pass over each whole text; Myers' bit-parallel distance verifies the
-stretch around them. Items are taken in blocks of bounded size, one pass over the documents for each block.
+stretch around them. Verification climbs a tree: a run of j pieces with j errors or more has no part within its budget,
+so a run of j pieces may have j - 1 errors, one of its halves must keep to its own budget, and a hit whose neighbours
+don't fit is given up after a few characters. Items are taken in blocks of bounded size, one pass over the documents for
+each block.
 """
 
 from __future__ import annotations
@@ -63,6 +66,58 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+class Run:
+    """A run of an item's pieces: how to tell whether it lies within its errors in a stretch of text."""
+
+    def __init__(self, item: str, begin: int, end: int, errors: int):
+        self.begin, self.end, self.errors = begin, end, errors
+        self.peq: dict[str, int] = defaultdict(int)
+        for i, c in enumerate(item[begin:end]):
+            self.peq[c] |= 1 << i
+        self.peq = dict(self.peq)
+
+    def fits(self, text: str, at: int) -> bool:
+        """Whether the run stands around where the item would begin at ``at``; Myers' recurrence with an early end."""
+        m, errors = self.end - self.begin, self.errors
+        full, top = (1 << m) - 1, 1 << (m - 1)
+        pv, mv, score, peq = full, 0, m, self.peq
+        for c in text[max(0, at + self.begin - errors) : max(0, at + self.end + errors)]:
+            eq = peq.get(c, 0)
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph = mv | (full & ~(xh | pv))
+            mh = pv & xh
+            if ph & top:
+                score += 1
+            elif mh & top:
+                score -= 1
+                if score <= errors:
+                    return True
+            xv = eq | mv
+            ph, mh = (ph << 1) & full, (mh << 1) & full
+            pv, mv = mh | (full & ~(xv | ph)), ph & xv
+        return score <= errors
+
+
+def runs_above(item: str, pieces: list[tuple[int, str]]) -> list[list[Run]]:
+    """For each piece, the ever longer runs that hold it, without the item itself."""
+    ends = [offset for offset, _ in pieces] + [len(item)]
+    above: list[list[Run]] = [[] for _ in pieces]
+
+    def split(low: int, high: int) -> None:
+        if high - low < 2:
+            return
+        middle = (low + high) // 2
+        split(low, middle)
+        split(middle, high)
+        if high - low < len(pieces):
+            run = Run(item, ends[low], ends[high], high - low - 1)
+            for k in range(low, high):
+                above[k].append(run)
+
+    split(0, len(pieces))
+    return above
+
+
 class Matcher:
     """The automaton of a block of items and the matches of a text."""
 
@@ -74,8 +129,9 @@ class Matcher:
             text = normalise(text)
             if text:
                 budget = budget_of(len(text), share, least_chars)
-                for offset, piece in pieces_of(text, budget):
-                    at[piece].append((len(self.items), offset))
+                pieces = pieces_of(text, budget)
+                for (offset, piece), above in zip(pieces, runs_above(text, pieces)):
+                    at[piece].append((len(self.items), offset, above))
                 self.items.append((key, text, budget))
         self.automaton = ahocorasick.Automaton()
         for piece, places in at.items():
@@ -89,9 +145,13 @@ class Matcher:
             return
         starts: dict[int, set[int]] = defaultdict(set)
         for end, (size, places) in self.automaton.iter(text):
-            for item, offset in places:
-                starts[item].add(end + 1 - size - offset)
+            for item, offset, above in places:
+                start = end + 1 - size - offset
+                if start not in starts[item] and all(run.fits(text, start) for run in above):
+                    starts[item].add(start)
         for item, found in starts.items():
+            if not found:
+                continue
             key, wanted, budget = self.items[item]
             best = None
             for low, high in _merged(sorted(found), budget):
