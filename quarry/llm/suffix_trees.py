@@ -22,6 +22,8 @@ from . import rolling
 
 #: Chunks of a suffix; suffixes that a group should hold at most.
 DEPTH, GROUP_SUFFIXES = 8, 20_000
+#: Too frequent prefixes that are spread to all tasks; with more of them suffixes are shuffled by prefix.
+MOST_SPREAD = 100_000
 #: Words of a window that selects an anchor, and of a gram.
 WINDOW, GRAM = 43, 4
 
@@ -106,12 +108,17 @@ def _prefix(p: int) -> Column:
     return F.xxhash64(F.slice("tokens", 1, p))
 
 
-def suffixes(chunks: DataFrame) -> DataFrame:
-    """row, id, at (chunk number), begin (first word), tokens and ends of the suffixes whose first chunk repeats."""
+def with_starts(chunks: DataFrame) -> DataFrame:
+    """Documents once each, with ``starts``: the numbers of their chunks that stand elsewhere, too; null without any."""
     each = chunks.select("row", F.posexplode("tokens").alias("at", "token"))
     twice = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
     wanted = each.join(twice, "token").groupBy("row").agg(F.collect_set("at").alias("starts"))
-    of = chunks.join(wanted, "row").select("row", "id", "tokens", "ends", F.explode("starts").alias("at"))
+    return chunks.dropDuplicates(["row"]).join(wanted, "row", "left")
+
+
+def suffixes(held: DataFrame) -> DataFrame:
+    """row, id, at (chunk number), begin (first word), tokens and ends of the suffixes whose first chunk repeats."""
+    of = held.select("row", "id", "tokens", "ends", F.explode("starts").alias("at"))
     begin = F.when(F.col("at") == 0, 0).otherwise(F.get("ends", F.col("at") - 1))
     return of.select(
         "row", "id", "at", begin.alias("begin"), F.slice("tokens", F.col("at") + 1, DEPTH).alias("tokens"), F.slice("ends", F.col("at") + 1, DEPTH).alias("ends")
@@ -129,18 +136,16 @@ def remove_later(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chunks = cut(chunked(base))
-    spans, rest = [], suffixes(chunks.dropDuplicates(["row"])).withColumn("unit", F.lit(None).cast("long"))
-    rest = cut(rest)
+    chunks = cut(with_starts(chunked(base)))
+    spans, rest, cool = [], suffixes(chunks), None
     order = F.struct("id", "row", "at")
-    total = rest.count()
+    total = chunks.agg(F.coalesce(F.sum(F.size(F.coalesce("starts", F.array().cast("array<int>")))), F.lit(0))).first()[0]
     units = max(1, -(-total // GROUP_SUFFIXES))
-    cool = None
     for p in range(1, DEPTH + 1):
         marked = rest.withColumn("prefix", _prefix(p))
-        hot = marked.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter(F.col("n") > GROUP_SUFFIXES)
-        hot = cut(hot)
-        some = hot.limit(1).count()
+        hot = cut(marked.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter(F.col("n") > GROUP_SUFFIXES))
+        some = hot.count()
+        hot = F.broadcast(hot) if some <= MOST_SPREAD else hot
         calm = marked.join(hot.select("prefix"), "prefix", "left_anti") if some else marked
         calm = calm.withColumn("unit", F.pmod(F.col("prefix"), F.lit(units))).drop("prefix")
         cool = calm if cool is None else cool.unionByName(calm)
@@ -154,7 +159,7 @@ def remove_later(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
         )
         # suffixes that end at this depth have no longer prefix
-        rest = cut(held.filter(F.size("tokens") > p).drop("prefix", "n", "first"))
+        rest = held.filter(F.size("tokens") > p).drop("prefix", "n", "first")
 
     def tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -188,7 +193,7 @@ def remove_later(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("raw"))
         .select("row", _union(F.col("raw")).alias("spans"))
     )
-    out = chunks.select("row", "id", "n_words").join(merged, "row", "left")
+    out = base.select("row", "id").join(chunks.select("row", "n_words").join(merged, "row", "left"), "row")
     empty = F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>"))
     gone = F.aggregate(empty, F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
     return out.select(F.col("id").alias(id_col), "n_words", gone.alias("n_removed"), F.size(empty).cast("long").alias("n_spans"), empty.alias("spans"))
