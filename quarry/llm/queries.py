@@ -29,9 +29,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_captures(table(spark, sf_dir, "pages"), path, least_revisit_bytes=0)
     page = F.col("metadata")[0]["fields"]
-    captures = warc.assemble(warc.read_records(spark, path)).select(
-        "capture_id", "type", "refers_to",
-        F.struct(F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest")).alias("response"),
+    captures = warc.assemble(cut(warc.read_records(spark, path).drop("payload"))).select(
+        "capture_id", "type", "refers_to", "response",
         F.filter(page, lambda x: x["key"] == "page-id")[0]["value"].cast("long").alias("metadata"),
     )
     own = F.col("response")

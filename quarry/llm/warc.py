@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 CRLF = "\r\n"
 #: RFC 4648 (fixed values).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -21,6 +23,8 @@ DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 HTTP_OK = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
 #: Payload bytes that the reader hands on at once.
 BATCH_BYTES = 8 << 20
+#: Payloads with copies that are spread to all tasks; with more of them pages are shuffled by payload digest.
+MOST_SPREAD = 100_000
 
 RECORDS = (
     "record_id string, type string, uri string, date string, concurrent_to array<string>, refers_to string, "
@@ -80,6 +84,8 @@ def write_captures(
         .filter("n > 1")
         .select(F.col("digest").alias("__d"), "first")
     )
+    copies = cut(copies)
+    copies = F.broadcast(copies) if copies.count() <= MOST_SPREAD else copies
     base = base.join(copies, F.col("digest") == F.col("__d"), "left").withColumn("revisit", F.coalesce(F.col("id") < F.col("first"), F.lit(False)))
     me = record_id("capture", F.col("id"), F.col("digest"))
     concurrent = F.concat(F.lit("WARC-Concurrent-To: "), me)
@@ -167,8 +173,9 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Links count in either direction and over one satellite in between (metadata of a request of a response). Records
     that repeat an id are one. Requests and metadata that lead to no capture are left out; a capture without them has
-    empty arrays. An empty archive gives no rows.
+    empty arrays. An empty archive gives no rows. Records may come without their payload column; then captures have none.
     """
+    body = ["payload"] * ("payload" in records.columns)
     records = records.dropDuplicates(["record_id"])
     anchors = records.filter(F.col("type").isin("response", "revisit"))
     others = records.filter(F.col("type").isin("request", "metadata"))
@@ -183,14 +190,14 @@ def assemble(records: DataFrame) -> DataFrame:
         member.join(others, "record_id")
         .groupBy("capture_id")
         .agg(*[
-            F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct("record_id", "uri", "date", "payload", cast_fields())))).alias(name)
+            F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct("record_id", "uri", "date", *body, cast_fields())))).alias(name)
             for kind, name in (("request", "requests"), ("metadata", "metadata"))
         ])
     )
     empty = lambda c: F.coalesce(F.col(c), F.array())
     return anchors.join(satellites, anchors["record_id"] == satellites["capture_id"], "left").select(
         F.col("record_id").alias("capture_id"), "type", "uri", "date", "refers_to",
-        F.struct("payload", "payload_bytes", "payload_digest").alias("response"), empty("requests").alias("requests"),
+        F.struct(*body, "payload_bytes", "payload_digest").alias("response"), empty("requests").alias("requests"),
         empty("metadata").alias("metadata"),
     )
 
