@@ -1,11 +1,10 @@
-"""Substring dedup by prefix-partitioned suffix trees over content-defined chunks of words.
-
-A document becomes its sequence of chunks, cut at winnowed anchors, so that equal passages are cut alike wherever they
-stand. A suffix is the next ``DEPTH`` chunks from a position. Chunks that occur once start no repeat and drop out.
-The others are split by prefixes: one chunk long, and longer where more suffixes share a prefix than a task should
-hold. Each group's suffixes are sorted and their longest common prefixes give the subtree's internal nodes; what stands
-below a deep node and isn't its first occurrence is a later copy. Repeats longer than the depth are covered by the
-suffixes that start inside them.
+"""Substring dedup by prefix-partitioned suffix trees over words.
+
+A suffix starts at every word, and its first ``min_words`` words are its path to the node that tells a repeat: what
+passes a node and isn't its first occurrence is a later copy, and longer repeats are covered by the suffixes that start
+inside them. Suffixes are split by prefixes: each goes to the winnowed anchor of its path, which follows from the path's
+words, so that equal paths always meet. Neighbouring suffixes that share an anchor travel as one run; runs equal in all
+their words are settled by hash, and the others' paths are compared word for word by hash, on both sides of the anchor.
 """
 
 from __future__ import annotations
@@ -19,186 +18,195 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 from . import rolling
+from .license_scan import _joined
+
+#: Words of a suffix that are compared; runs that a group should hold at most, and contexts of an anchor beyond which paths meet by hash.
+DEPTH, GROUP_SUFFIXES = 50, 20_000
+#: Words of a gram that can be an anchor.
+GRAM = 16
+#: Bits of the filter that keeps documents without open runs out of the text's shuffle; 16 MB at most, however many there are.
+FILTER_BITS = 1 << 27
+
 
-#: Chunks of a suffix; suffixes that a group should hold at most.
-DEPTH, GROUP_SUFFIXES = 8, 20_000
-#: Too frequent prefixes that are spread to all tasks; with more of them suffixes are shuffled by prefix.
-MOST_SPREAD = 100_000
-#: Words of a window that selects an anchor, and of a gram.
-WINDOW, GRAM = 43, 4
+def chunk_ends(hashes: np.ndarray) -> np.ndarray:
+    """Where each symbol of a document's suffixes ends, in words: every word is a symbol of its own."""
+    return np.arange(1, len(hashes) + 1)
 
 
-def chunk_ends(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """Where each chunk of a document's words ends, in words; cuts lie at winnowed anchors."""
-    cuts = [np.array([len(hashes)])] if len(hashes) else []
-    for held in rolling.blocks([len(hashes)], window):
-        for _, a, b in held:
-            cuts.append(rolling.anchor_runs(hashes[a:b], np.array([0, b - a]), gram, window)["anchor"] + a)
-    ends = np.unique(np.concatenate(cuts)) if cuts else np.zeros(0, np.int64)
-    return ends[ends > 0]
+def _all_ends(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    return [chunk_ends(hashes[a:b]) for a, b in zip(first[:-1], first[1:])]
+
+
+def anchored(hashes: np.ndarray, first: np.ndarray, min_words: int) -> dict[str, np.ndarray]:
+    """of (document), mark, context and run of all suffixes of documents whose words lie between offsets ``first``."""
+    found: dict[str, list[np.ndarray]] = {"of": [], "mark": [], "context": [], "run": []}
+    for held in rolling.blocks(np.diff(first).tolist(), min_words):
+        cuts = [hashes[first[k] + a : first[k] + b] for k, a, b in held]
+        runs = rolling.anchor_runs(np.concatenate(cuts), np.concatenate([[0], np.cumsum([len(c) for c in cuts])]), min(GRAM, min_words), min_words)
+        shift = np.array([a for _, a, _ in held])[runs["part"]]
+        found["of"].append(np.array([k for k, _, _ in held])[runs["part"]])
+        found["mark"].append(runs["mark"].view(np.int64))
+        found["context"].append(runs["context"].view(np.int64))
+        found["run"].append(rolling.pack_run(*(runs[x] + shift for x in ("low", "anchor", "high"))))
+    return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in found.items()}
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
+def suffix_runs(base: DataFrame, min_words: int) -> DataFrame:
+    """row, id, mark, context, run of the suffixes of (row, id, text)."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            found = anchored(*rolling.word_hashes(rolling.split_words(part.column(2).to_pylist())), min_words)
+            of = pa.array(found["of"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(of), part.column(1).take(of), *(pa.array(found[x]) for x in ("mark", "context", "run"))],
+                names=["row", "id", "mark", "context", "run"],
+            )
+
+    return base.mapInArrow(find, f"row long, id {base.schema['id'].dataType.simpleString()}, mark long, context long, run long")
 
 
-def chunked(base: DataFrame) -> DataFrame:
-    """row, id, n_words, tokens (hash of each chunk), ends (words up to each chunk's end) of (row, id, text)."""
+def counted(base: DataFrame) -> DataFrame:
+    """row, id, n_words of (row, id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            n = [len(w) for w in rolling.split_words(part.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64())], names=["row", "id", "n_words"])
+
+    return base.mapInArrow(run, f"row long, id {base.schema['id'].dataType.simpleString()}, n_words long")
+
+
+def step(df: DataFrame) -> DataFrame:
+    """cut(), after which the shuffle files that led to it go, too."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return cut(df.select("*"))
+    finally:
+        conf.set(key, was)
+
+
+def those_in(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents of (row, id, text) whose row may be among ``rows``: all of these, and a few others by chance."""
+    word, bit = F.shiftright("row", 6).bitwiseAND(FILTER_BITS // 64 - 1), F.expr("shiftleft(1L, cast(row & 63 as int))")
+    told = rows.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    held = np.zeros(FILTER_BITS // 64, np.int64)
+    held[told["word"].to_numpy().astype(np.int64)] = told["bits"].to_numpy().astype(np.int64)
+    spread = base.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                hashes, first = rolling.word_hashes(rolling.split_words(part.column(2).to_pylist()))
-                marks = rolling.Stretches(hashes) if len(hashes) else None
-                # short documents are winnowed together, long ones block by block
-                ends = _all_ends(hashes, first)
-                flat = np.concatenate([e + f for e, f in zip(ends, first)]) if len(ends) else np.zeros(0, np.int64)
-                starts = np.concatenate([np.concatenate([[0], e[:-1]]) + f for e, f in zip(ends, first) if len(e)]) if len(flat) else flat
-                tokens = marks.hash(starts, flat).view(np.int64) if len(flat) else np.zeros(0, np.int64)
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(e) for e in ends])]).astype("int32"))
-                own = np.concatenate(ends) if len(flat) else flat
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), part.column(1), pa.array(np.diff(first)),
-                        pa.ListArray.from_arrays(offsets, pa.array(tokens)),
-                        pa.ListArray.from_arrays(offsets, pa.array(own.astype("int32"))),
-                    ],
-                    names=["row", "id", "n_words", "tokens", "ends"],
-                )
+            row = batch.column(0).to_numpy()
+            yield batch.filter(pa.array((spread.value[(row >> 6) & (FILTER_BITS // 64 - 1)] >> (row & 63)) & 1 == 1))
 
-    kind = base.schema["id"].dataType.simpleString()
-    return base.mapInArrow(run, f"row long, id {kind}, n_words long, tokens array<long>, ends array<int>")
+    return base.mapInArrow(run, base.schema)
 
 
-def _all_ends(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    sizes = np.diff(first)
-    cuts: list[list[np.ndarray]] = [[np.array([n])] if n else [] for n in sizes.tolist()]
-    for held in rolling.blocks(sizes.tolist(), WINDOW):
-        offsets = np.concatenate([[0], np.cumsum([b - a for _, a, b in held])])
-        found = rolling.anchor_runs(np.concatenate([hashes[first[k] + a : first[k] + b] for k, a, b in held]), offsets, GRAM, WINDOW)
-        edges = np.searchsorted(found["part"], np.arange(len(held) + 1))
-        for at, (k, a, _) in enumerate(held):
-            cuts[k].append(found["anchor"][edges[at] : edges[at + 1]] + a)
-    out = [np.unique(np.concatenate(c)) if c else np.zeros(0, np.int64) for c in cuts]
-    return [e[e > 0] for e in out]
-
-
-def later_copies(tokens: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """How many leading chunks each suffix shares with an earlier one; tokens beyond a suffix's size don't count.
-
-    The suffixes are sorted; those that share their first p chunks lie together and are an internal node of the tree,
-    and all but its first by rank are later copies at that depth.
-    """
-    n, depth = tokens.shape
-    order = np.lexsort([tokens[:, p] for p in range(depth - 1, -1, -1)])
-    tokens, size, rank = tokens[order], size[order], rank[order]
-    common = np.zeros(n, np.int64)  # longest common prefix with the suffix before
-    if n > 1:
-        same = np.cumprod(tokens[1:] == tokens[:-1], axis=1).sum(axis=1)
-        common[1:] = np.minimum(same, np.minimum(size[1:], size[:-1]))
-    shared = np.zeros(n, np.int64)
-    for p in range(1, depth + 1):
-        first = np.flatnonzero(common < p)
-        least = np.minimum.reduceat(rank, first) if n else rank
-        later = rank > np.repeat(least, np.diff(np.concatenate([first, [n]])))
-        shared[later & (size >= p)] = p
-    out = np.empty(n, np.int64)
-    out[order] = shared
-    return out
-
-
-def _prefix(p: int) -> Column:
-    return F.xxhash64(F.slice("tokens", 1, p))
-
-
-def with_starts(chunks: DataFrame) -> DataFrame:
-    """Documents once each, with ``starts``: the numbers of their chunks that stand elsewhere, too; null without any."""
-    each = chunks.select("row", F.posexplode("tokens").alias("at", "token"))
-    twice = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
-    wanted = each.join(twice, "token").groupBy("row").agg(F.collect_set("at").alias("starts"))
-    return chunks.dropDuplicates(["row"]).join(wanted, "row", "left")
-
-
-def suffixes(held: DataFrame) -> DataFrame:
-    """row, id, at (chunk number), begin (first word), tokens and ends of the suffixes whose first chunk repeats."""
-    of = held.select("row", "id", "tokens", "ends", F.explode("starts").alias("at"))
-    begin = F.when(F.col("at") == 0, 0).otherwise(F.get("ends", F.col("at") - 1))
-    return of.select(
-        "row", "id", "at", begin.alias("begin"), F.slice("tokens", F.col("at") + 1, DEPTH).alias("tokens"), F.slice("ends", F.col("at") + 1, DEPTH).alias("ends")
-    )
-
-
-def remove_later(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
+def later_copies(paths: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Whether each suffix's path (hash) is that of a suffix with a smaller rank, too."""
+    order = np.lexsort((rank, paths))
+    told = np.zeros(len(paths), bool)
+    told[order[1:]] = paths[order[1:]] == paths[order[:-1]]
+    return told
+
+
+def remove_later(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = DEPTH) -> DataFrame:
     """One row per input row: id, n_words, n_removed, n_spans and spans (of words) of passages that repeat earlier ones.
 
-    Words stand between ASCII white space. A passage counts if it is a run of whole chunks with at least ``min_words``
-    words; the first occurrence by id, then position, stays. A repeat of at least ``min_words`` + 2 * ``WINDOW`` words
-    always has such a run. A null or empty text has no words. Null ids come first. Rows that repeat an id are documents
-    of their own, ordered by a hash of the text; rows equal in id and text are one document. An empty table gives an
-    empty table.
+    Words stand between ASCII white space. A word goes if it lies in ``min_words`` consecutive words of its document
+    that also start earlier, in the same document or another one; the first occurrence by id, then position, stays.
+    A null or empty text has no words. Null ids come first. Rows that repeat an id are documents of their own, ordered
+    by a hash of the text; rows equal in id and text are one document. An empty table gives an empty table.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chunks = cut(with_starts(chunked(base)))
-    spans, rest, cool = [], suffixes(chunks), None
-    order = F.struct("id", "row", "at")
-    total = chunks.agg(F.coalesce(F.sum(F.size(F.coalesce("starts", F.array().cast("array<int>")))), F.lit(0))).first()[0]
-    units = max(1, -(-total // GROUP_SUFFIXES))
-    for p in range(1, DEPTH + 1):
-        marked = rest.withColumn("prefix", _prefix(p))
-        hot = cut(marked.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter(F.col("n") > GROUP_SUFFIXES))
-        some = hot.count()
-        hot = F.broadcast(hot) if some <= MOST_SPREAD else hot
-        calm = marked.join(hot.select("prefix"), "prefix", "left_anti") if some else marked
-        calm = calm.withColumn("unit", F.pmod(F.col("prefix"), F.lit(units))).drop("prefix")
-        cool = calm if cool is None else cool.unionByName(calm)
-        if not some:
-            break
-        held = marked.join(hot, "prefix")
-        last = F.element_at(F.slice("ends", 1, p), -1)
-        spans.append(
-            held.filter((order != F.col("first")) & (F.size("tokens") >= p) & (last - F.col("begin") >= min_words)).select(
-                "row", F.col("begin").cast("long").alias("a"), last.cast("long").alias("b")
+    kind = base.schema["id"].dataType.simpleString()
+    found = suffix_runs(base, min_words)
+    # within a document and context runs are ordered as their first words are
+    order = F.struct("id", "row", "run")
+    shared = found.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
+    met = step(found.join(shared, "mark"))
+    classes = step(met.groupBy("mark", "context").agg(F.min(order).alias("first")))
+    low, high = F.shiftright("run", 24), F.shiftright("run", 24) + F.col("run").bitwiseAND(4095)
+    settled = met.join(classes, ["mark", "context"]).filter(order != F.col("first")).select("row", low.alias("a"), (high + min_words).alias("b"))
+    settled = step(_merged(settled))
+
+    part = classes.groupBy("mark").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
+    open_runs = step(classes.join(part, "mark").select("first.row", "first.run", "mark", (F.col("contexts") > GROUP_SUFFIXES).alias("hot")))
+    cells = open_runs.groupBy(F.col("row").alias("__of")).agg(F.collect_list(F.struct("mark", "run", "hot")).alias("runs"))
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _slices(batches, 256):
+            hashes, first = rolling.word_hashes(rolling.split_words(piece.column(2).to_pylist()))
+            runs = piece.column(3)
+            of = np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy())
+            flat = runs.flatten()
+            a, _, b = rolling.unpack_run(flat.field("run").to_numpy())
+            n = b - a + 1
+            ends = np.cumsum(n)
+            start = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first[of] + a, n)
+            each = rolling.Stretches(hashes).hash(start, start + min_words).view(np.int64)
+            held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("int32")), pa.array(each))
+            own = pa.array(of)
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0).take(own), piece.column(1).take(own), flat.field("mark"), flat.field("hot"), pa.array(a), held],
+                names=["row", "id", "mark", "hot", "low", "paths"],
             )
-        )
-        # suffixes that end at this depth have no longer prefix
-        rest = held.filter(F.size("tokens") > p).drop("prefix", "n", "first")
+
+    together = those_in(base, open_runs.select("row")).join(cells, F.col("row") == F.col("__of")).select("row", "id", "text", "runs")
+    cut_out = together.mapInArrow(paths, f"row long, id {kind}, mark long, hot boolean, low long, paths array<long>")
 
     def tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         whole = pa.Table.from_batches(held)
-        row, begin = whole.column("row").to_numpy(), whole.column("begin").to_numpy().astype(np.int64)
-        lists, ends = whole.column("tokens").combine_chunks(), whole.column("ends").combine_chunks()
-        size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        place = np.arange(len(row))
-        tokens, upto = np.zeros((len(row), DEPTH), np.int64), np.zeros((len(row), DEPTH), np.int64)
-        of = np.repeat(place, size)
-        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        tokens[of, step], upto[of, step] = lists.flatten().to_numpy(), ends.flatten().to_numpy()
+        # a row that stands twice in the table gives its runs twice
+        keep = np.unique(np.stack([whole.column("row").to_numpy(), whole.column("low").to_numpy()]), axis=1, return_index=True)[1]
+        whole = whole.take(pa.array(keep))
+        row, low = whole.column("row").to_numpy(), whole.column("low").to_numpy()
         ids = whole.column("id").to_pandas()
         known = ids.notna().to_numpy()
-        order = np.lexsort([whole.column("at").to_numpy(), row, ids.where(known, ids[known].min() if known.any() else 0).to_numpy(), known])
+        by = np.lexsort([low, row, ids.where(known, ids[known].min() if known.any() else 0).to_numpy(), known])
         rank = np.empty(len(row), np.int64)
-        rank[order] = place
-        shared = later_copies(tokens, size, rank)
-        b = np.where(shared > 0, upto[place, np.maximum(shared, 1) - 1], 0)
-        told = (shared > 0) & (b - begin >= min_words)
-        yield pa.RecordBatch.from_arrays([pa.array(row[told]), pa.array(begin[told]), pa.array(b[told])], names=["row", "a", "b"])
-
-    spans.append(cool.repartition(units, "unit").drop("unit").mapInArrow(tree, "row long, a long, b long"))
-    found = spans[0]
-    for more in spans[1:]:
-        found = found.unionByName(more)
-    merged = (
-        found.groupBy("row")
-        .agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("raw"))
-        .select("row", _union(F.col("raw")).alias("spans"))
-    )
-    out = base.select("row", "id").join(chunks.select("row", "n_words").join(merged, "row", "left"), "row")
+        rank[by] = np.arange(len(row))
+        lists = whole.column("paths").combine_chunks()
+        count = lists.value_lengths().to_numpy().astype(np.int64)
+        of = np.repeat(np.arange(len(row)), count)
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        told = later_copies(lists.flatten().to_numpy(), rank[of])
+        spans = _joined(row[of[told]], low[of[told]] + step[told], min_words)
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in spans], names=["row", "a", "b"])
+
+    units = max(1, -(-open_runs.filter("not hot").count() // GROUP_SUFFIXES))
+    cool = cut_out.filter("not hot").repartition(units, "mark").select("row", "id", "low", "paths")
+    spans = settled.select("row", F.inline("spans")).unionByName(cool.mapInArrow(tree, "row long, a long, b long"))
+    if open_runs.filter("hot").limit(1).count():
+        each = step(cut_out.filter("hot").select("row", "id", "low", F.posexplode("paths").alias("k", "path")))
+        place = F.struct("id", "row", (F.col("low") + F.col("k")).alias("a"))
+        least = each.groupBy("path").agg(F.min(place).alias("least"))
+        later = each.join(least, "path").filter(place != F.col("least"))
+        spans = spans.unionByName(later.select("row", (F.col("low") + F.col("k")).alias("a"), (F.col("low") + F.col("k") + min_words).alias("b")))
+    out = counted(base).join(_merged(spans), "row", "left")
     empty = F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>"))
     gone = F.aggregate(empty, F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
     return out.select(F.col("id").alias(id_col), "n_words", gone.alias("n_removed"), F.size(empty).cast("long").alias("n_spans"), empty.alias("spans"))
 
 
+def _merged(spans: DataFrame) -> DataFrame:
+    """row and its disjoint spans, of (row, a, b)."""
+    raw = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("raw"))
+    return raw.select("row", _union(F.col("raw")).alias("spans"))
+
+
 def _union(spans: Column) -> Column:
     """Sorted spans as disjoint ones that don't touch."""
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")

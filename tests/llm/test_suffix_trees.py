@@ -68,3 +68,49 @@ def test_long_documents_are_cut_the_same(monkeypatch):
     monkeypatch.setattr(rolling, "BLOCK", 200)
     assert suffix_trees.chunk_ends(hashes).tolist() == whole.tolist()
     assert suffix_trees._all_ends(hashes, np.array([0, 0, 3000]))[1].tolist() == whole.tolist()
+
+
+def word_brute(docs, min_words=50):
+    """id -> (words, removed, spans) by every window of words, without anything of the operator's."""
+    seen, out = {}, {}
+    for d, t in sorted(docs):
+        words = (t or "").encode().split()
+        gone = np.zeros(len(words) + 2, int)
+        for i in range(len(words) - min_words + 1):
+            if seen.setdefault(tuple(words[i : i + min_words]), (d, i)) != (d, i):
+                gone[i + 1 : i + min_words + 1] = 1
+        out[d] = (len(words), int(gone.sum()), int((np.diff(gone) == 1).sum()))
+    return out
+
+
+def test_short_passages_go_to_the_word(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    rows = []
+    for k, n in enumerate([49, 50, 51, 55, 60, 70, 80, 100, 135]):
+        passage = text(n)
+        rows += [(3 * k, " ".join(text(40) + passage + text(45))), (3 * k + 1, " ".join(text(37) + passage + text(52) + passage)), (3 * k + 2, " ".join(passage))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = word_brute(rows)
+    assert expected[0] == (134, 0, 0) and expected[2] == (49, 0, 0) and expected[4] == (189, 100, 2) and expected[5] == (50, 50, 1)
+    assert got(suffix_trees.remove_later(table)) == expected
+    monkeypatch.setattr(suffix_trees, "GROUP_SUFFIXES", 1)
+    assert got(suffix_trees.remove_later(table)) == expected
+
+
+def test_whole_table_to_the_word(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert got(op2_suffix_trees(spark, SF)) == word_brute(docs)
+
+
+def test_long_documents_have_the_same_suffixes(monkeypatch):
+    hashes = rolling.mix(np.random.default_rng(0).integers(0, 50, 3000).astype(np.uint64))
+
+    def suffixes():
+        found = suffix_trees.anchored(hashes, np.array([0, 0, 3000]), 50)
+        low, at, high = rolling.unpack_run(found["run"])
+        return {(m, s, a) for m, l, h, a in zip(found["mark"], low, high, at) for s in range(l, h + 1)}
+
+    whole = suffixes()
+    monkeypatch.setattr(rolling, "BLOCK", 200)
+    assert suffixes() == whole and len(whole) == 2951
