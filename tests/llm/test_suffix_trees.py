@@ -98,6 +98,17 @@ def test_short_passages_go_to_the_word(spark, monkeypatch):
     assert got(suffix_trees.remove_later(table)) == expected
 
 
+def test_cycling_text_goes(spark):
+    rows = []
+    for p in range(1, 8):
+        cycle = [f"c{p}x{k}" for k in range(p)] * (1000 // p)
+        around = [f"a{p}x{k}" for k in range(30)], [f"b{p}x{k}" for k in range(30)]
+        rows += [(2 * p, " ".join(around[0] + cycle)), (2 * p + 1, " ".join(around[1] + cycle))]
+    expected = word_brute(rows)
+    assert expected[2] == (1030, 999, 1) and expected[3] == (1030, 1000, 1)
+    assert got(suffix_trees.remove_later(spark.createDataFrame(rows, "doc_id long, text string"))) == expected
+
+
 def test_whole_table_to_the_word(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert got(op2_suffix_trees(spark, SF)) == word_brute(docs)
