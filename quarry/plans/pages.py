@@ -240,7 +240,7 @@ def merged_threads(spark, sf_dir):
 
 
 def kmeans_sweep(spark, sf_dir):
-    k, score, model = K.kmeans_sweep(table(spark, sf_dir, "embeddings"), band=(6, 12))
+    k, score, model = K.kmeans_sweep(table(spark, sf_dir, "embeddings"))
     return spark.createDataFrame([(k, float(score))], "k int, silhouette double")
 
 
