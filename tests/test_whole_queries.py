@@ -13,3 +13,10 @@ def test_sweep_tries_the_whole_band(spark, tmp_path, monkeypatch):
     assert bands == [[6, 8, 10, 12, 14, 16, 18, 20]]
     assert 12 < got.k <= 20 and got.silhouette > 0.9
     assert band(500) == list(range(12, 41, 2))
+
+
+def test_connected_works_takes_all_rows(spark, tmp_path):
+    # orders 1 and 2 share part 5, 2 and 3 part 6; 7 and 8 share part 9; 14 stands with its own part
+    rows = [(1, 5), (2, 5), (2, 6), (3, 6), (7, 9), (8, 9), (14, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r.component: r.n for r in pages.connected_works(spark, str(tmp_path)).collect()} == {1: 5, 7: 3, 14: 2}
