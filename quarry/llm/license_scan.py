@@ -2,8 +2,8 @@
 
 ``scan`` looks for a bounded set of templates in documents. ``remove_copied`` takes every document as a template of
 those with larger ids, so its inverted index is distributed: fingerprints meet by shuffle, runs of windows with equal
-content collapse to one candidate by hash, and only candidates that agree in part are aligned. Its contract asks for
-exact windows, so there the band is the anchor's diagonal alone.
+content collapse to one candidate by hash, and the windows of candidates that agree in part are grouped by hash. It
+aligns nothing: its contract asks for exact windows, and equal windows share an anchor and their place around it.
 """
 
 from __future__ import annotations
