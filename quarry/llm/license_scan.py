@@ -254,21 +254,58 @@ class _Held:
         return self.name == other.name
 
 
+def _runs_only(pairs: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """The pairs that stand in runs of at least ``least`` consecutive words on both sides."""
+    steps = np.diff(np.array(pairs, np.int64).reshape(-1, 2), axis=0)
+    cuts = np.flatnonzero((steps != 1).any(axis=1)) + 1
+    edges = [0, *cuts.tolist(), len(pairs)]
+    return [p for a, b in zip(edges, edges[1:]) if b - a >= least for p in pairs[a:b]]
+
+
+def _diagonal_run(left: np.ndarray, right: np.ndarray, i: int, j: int) -> list[tuple[int, int]]:
+    """The equal words around a place, on its diagonal."""
+    low, high = 0, 0
+    while i - low > 0 and j - low > 0 and left[i - low - 1] == right[j - low - 1]:
+        low += 1
+    while i + high < len(left) and j + high < len(right) and left[i + high] == right[j + high]:
+        high += 1
+    return [(i + d, j + d) for d in range(-low, high)]
+
+
 def matches(index: Index, text: str | None, band: int, least_coverage: float) -> Iterator[tuple]:
-    """(template key, coverage in the template, matched words, spans of the text's words) of each candidate."""
+    """(template key, coverage in the template, matched words, spans of the text's words) of each candidate.
+
+    The likeliest diagonal is aligned first, then that of every fingerprint whose words no alignment has matched yet,
+    over the words still free. A further alignment counts wholly if it covers the template by itself, else with its runs
+    of ``gram`` words or more, so that stray equal words don't add up to a template.
+    """
     words = rolling.word_hashes(rolling.split_words([text and text.lower()]))[0]
-    votes: dict[int, Counter] = defaultdict(Counter)
+    votes: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for mark, at in _winnow(words, index.window, index.gram):
         for k, place in index.places.get(mark, ()):
-            votes[k][(at - place) // (band + 1)] += 1
-    for k, diagonals in sorted(votes.items()):
+            votes[k].append((at, place))
+    for k, anchors in sorted(votes.items()):
         template = index.words[k]
+        gone = next(v for v in range(len(template) + 1) if v not in template)  # equals no word of the template
+        diagonals = Counter((at - place) // (band + 1) for at, place in anchors)
         slot = max(diagonals, key=lambda d: (diagonals[d] + diagonals.get(d + 1, 0), -d))
-        pairs = banded_alignment(template, words, slot * (band + 1) + band // 2, 2 * band)
-        coverage = len(pairs) / len(template)
+        pairs = set(banded_alignment(template, words, slot * (band + 1) + band // 2, 2 * band))
+        taken = np.zeros(len(words), bool)
+        taken[[j for _, j in pairs]] = True
+        for at, place in sorted(anchors):
+            if taken[at : at + index.gram].all():
+                continue
+            free = np.where(taken, np.uint64(gone), words)
+            more = banded_alignment(template, free, at - place, 2 * band)
+            if len(more) < least_coverage * len(template):
+                more = _runs_only(more, index.gram)
+            more += _diagonal_run(template, words, place, at)
+            pairs.update(more)
+            taken[[j for _, j in more]] = True
+        coverage = len({i for i, _ in pairs}) / len(template)
         if coverage >= least_coverage:
-            at = np.array([j for _, j in pairs])
-            yield index.keys[k], coverage, len(pairs), rolling.merged(at, at + 1)
+            at = np.flatnonzero(taken)
+            yield index.keys[k], coverage, len(at), rolling.merged(at, at + 1)
 
 
 def scan(
@@ -277,8 +314,8 @@ def scan(
 ) -> DataFrame:
     """One row per document and template found in it: id, key, coverage, n_matched, spans of matched words.
 
-    Words are lower-cased. Candidates share a fingerprint; coverage is the share of the template's words that the
-    alignment in the band around the likeliest diagonal matches. Templates of fewer than ``gram`` words and null or
+    Words are lower-cased. Candidates share a fingerprint; coverage is the share of the template's words that alignments
+    in bands around the diagonals of the fingerprints match; n_matched and spans count the document's words. Templates of fewer than ``gram`` words and null or
     empty texts match nothing. Templates are taken in blocks of bounded size. No templates: no rows.
     """
     spark = docs.sparkSession

@@ -73,3 +73,20 @@ def test_scan_reports_coverage_and_spans(spark):
     assert rows[1].coverage == 1.0 and [tuple(s) for s in rows[1].spans] == [(2, 21)]
     assert rows[2].n_matched == 16 and rows[2].spans[0].a == 1
     assert license_scan.scan(docs, templates.limit(0)).count() == 0
+
+
+def test_scan_takes_every_copy_and_every_part():
+    rng = np.random.default_rng(11)
+    text = lambda n, tag: [f"{tag}{x}" for x in rng.integers(0, 10**6, n)]
+    template, small = text(120, "t"), text(12, "s")
+    index = license_scan.Index([("big", " ".join(template)), ("small", " ".join(small))], 8, 4)
+    told = lambda words: {k: (c, n, s) for k, c, n, s in license_scan.matches(index, " ".join(words), 16, 0.5)}
+    # a second copy, far away and back to back
+    assert told(text(30, "a") + template + text(200, "b") + template)["big"] == (1.0, 240, [(30, 150), (350, 470)])
+    assert told(text(30, "a") + small + text(3, "b") + small)["small"] == (1.0, 24, [(30, 42), (45, 57)])
+    # split by two insertions into parts that are each under half of the template
+    split = template[:40] + text(60, "a") + template[40:80] + text(60, "b") + template[80:]
+    assert told(split)["big"] == (1.0, 120, [(0, 40), (100, 140), (200, 240)])
+    # strays of a few words don't make a template
+    stray = [w for k in range(0, 40, 4) for w in template[k : k + 4] + text(300, "c")]
+    assert told(stray) == {}
