@@ -2,8 +2,8 @@
 
 ``scan`` looks for a bounded set of templates in documents. ``remove_copied`` takes every document as a template of
 those with larger ids, so its inverted index is distributed: fingerprints meet by shuffle, runs of windows with equal
-content collapse to one candidate by hash, and the windows of candidates that agree in part are grouped by hash. It
-aligns nothing: its contract asks for exact windows, and equal windows share an anchor and their place around it.
+content collapse to one candidate, and candidates that agree in part are aligned in buckets along the diagonal of their
+common fingerprint. Its contract asks for exact windows, so the band is that diagonal alone.
 """
 
 from __future__ import annotations
@@ -57,17 +57,44 @@ def fingerprints(base: DataFrame, window: int, gram: int) -> DataFrame:
     return base.mapInArrow(find, f"row long, doc {base.schema['doc'].dataType.simpleString()}, mark long, context long, run long")
 
 
-def _align(rows: np.ndarray, docs: np.ndarray, low: np.ndarray, marks: list[np.ndarray], window: int):
-    """(row, first word, end) of each candidate's windows that a smaller document of the bucket also has."""
-    count = np.array([len(m) for m in marks])
-    of = np.repeat(np.arange(len(marks)), count)
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    flat = np.concatenate(marks)
-    order = np.lexsort((docs[of], flat))
-    new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
-    least = docs[of][order][new][np.cumsum(new) - 1]
-    told = order[docs[of][order] > least]
-    return _joined(rows[of[told]], low[of[told]] + step[told], window)
+def _align(key: np.ndarray, docs: np.ndarray, low: np.ndarray, anchor: np.ndarray, contexts: pa.Array, window: int):
+    """(index of the candidate, first word, end) of each candidate's words that match a smaller document's in the bucket.
+
+    The index of windows names each window's least document, and every candidate is aligned with those that it names, along
+    the diagonal on which their anchors lie: the contract's windows are exact, so the band is the diagonal alone. A stretch
+    of ``window`` equal words or more is a match.
+    """
+    first = contexts.offsets.to_numpy().astype(np.int64)
+    words = contexts.values.to_numpy().view(np.uint64)
+    size = np.diff(first)
+    count = size - window + 1
+    of, step = _steps(count)
+    start = first[of] + step
+    marks = rolling.Stretches(words).hash(start, start + window)
+    order = np.lexsort((docs[of], marks))
+    new = np.concatenate([[True], marks[order][1:] != marks[order][:-1]])
+    least = order[new][np.cumsum(new) - 1]
+    later = docs[of[order]] > docs[of[least]]
+    pairs = np.unique(np.stack([of[order[later]], of[least[later]]], axis=1), axis=0)
+    mine, other = pairs[:, 0], pairs[:, 1]
+    shift = (anchor - low)[other] - (anchor - low)[mine]
+    begin = np.maximum(0, -shift)
+    length = np.minimum(size[mine], size[other] - shift) - begin
+    pair, at = _steps(length)
+    at = at + begin[pair]
+    equal = words[first[mine[pair]] + at] == words[first[other[pair]] + at + shift[pair]]
+    edge = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (equal[1:] != equal[:-1]), [True]])) if len(pair) else np.zeros(1, np.int64)
+    run, end = edge[:-1], edge[1:]
+    told = equal[run] & (end - run >= window)
+    who = mine[pair[run[told]]]
+    a = low[who] + at[run[told]]
+    return key[who], a, a + (end - run)[told]
+
+
+def _steps(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which sequence each element belongs to and its place there, of sequences of these lengths."""
+    of = np.repeat(np.arange(len(count)), count)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
 
 
 def _joined(rows: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,95 +112,92 @@ def remove_copied(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The input's columns plus ``kept`` (string), ``n_words``, ``n_removed`` and ``spans`` (of words).
 
     Words stand between ASCII white space. A word goes if it lies in a window of ``window`` consecutive words that also
-    starts in a document with a smaller id; windows are judged on the input. Kept words are joined by one space. Ids
-    are integers. A null text has no words. Rows with a null id neither lose words nor take any from others. Rows that
-    repeat an id are one document here: they take nothing from each other. Input columns with the new names are
-    replaced. An empty table gives an empty table.
+    starts in a document with a smaller id; windows are judged on the input. Kept words are joined by one space. A null
+    text has no words. Rows with a null id neither lose words nor take any from others. Rows that repeat an id are one
+    document here: they take nothing from each other. Input columns with the new names are replaced. An empty table
+    gives an empty table.
     """
     docs = docs.drop("kept", "n_words", "n_removed", "spans")
+    given, kind = docs.columns, docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.withColumn("__row", F.xxhash64(F.col(id_col), text)).withColumn("__doc", F.col(id_col).cast("long"))
-    found = fingerprints(
-        base.filter("__doc is not null").select(F.col("__row").alias("row"), F.col("__doc").alias("doc"), F.col(text_col).alias("text")), window, gram
-    )
-    shared = found.groupBy("mark").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("mark", "least")
+    others = F.struct(*[F.col(f"`{c}`") for c in given if c != text_col])
+    base = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"), others.alias("given"))
+    found = fingerprints(base.filter("doc is not null").select("row", "doc", "text"), window, gram)
+    # both sides of a join come from a shuffle or a checkpoint, so that adaptive execution can split frequent marks
+    shared = cut(found.groupBy("mark").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("mark", "least"))
     met = cut(found.join(shared, "mark"))
-    classes = met.groupBy("mark", "context").agg(F.min("doc").alias("first"), F.first("least").alias("least"))
-    classes = cut(classes)
+    classes = cut(met.groupBy("mark", "context").agg(F.min("doc").alias("first"), F.first("least").alias("least")))
     low, high = F.shiftright("run", 24), F.shiftright("run", 24) + F.col("run").bitwiseAND(4095)
     placed = met.drop("least").join(classes, ["mark", "context"])
-    settled = placed.filter("doc > first").select("row", low.alias("a"), (high + window).alias("b")).distinct()
+    settled = placed.filter("doc > first").select("row", "doc", low.alias("a"), (high + window).alias("b")).distinct()
 
     part = classes.groupBy("mark").agg(F.count(F.lit(1)).alias("contexts"), F.max("first").alias("last"), F.min("least").alias("least0")).filter("last > least0")
-    open_runs = cut(
-        placed.filter("doc = first").join(part.select("mark", (F.col("contexts") > HOT_CONTEXTS).alias("hot")), "mark").select("row", "mark", "run", "hot").distinct()
-    )
-    cells = open_runs.groupBy(F.col("row").alias("__of")).agg(F.collect_list(F.struct("mark", "run", "hot")).alias("runs"))
-    width, text_at, doc_at = len(base.columns), base.columns.index(text_col), len(base.columns) - 1
+    part = cut(part.select("mark", (F.col("contexts") > HOT_CONTEXTS).alias("hot")))
+    open_runs = cut(placed.filter("doc = first").join(part, "mark").select("row", "doc", "mark", "run", "hot").distinct())
+    cells = open_runs.groupBy(F.col("row").alias("__row"), F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("mark", "run", "hot")).alias("runs"))
+    same = (F.col("row") == F.col("__row")) & (F.col("doc") == F.col("__doc"))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "doc", "mark", "hot", "low", "hashes"]
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in _batches(batch, 256):
-                words = rolling.split_words(piece.column(text_at).to_pylist())
-                hashes, first = rolling.word_hashes(words)
-                runs_of = piece.column(width + 1).to_pylist()
-                if not len(hashes):
-                    continue
-                marks = rolling.Stretches(hashes)
-                count = [len(r) for r in runs_of]
-                of = np.repeat(np.arange(len(runs_of)), count)
-                flat = [x for r in runs_of for x in r]
-                a, _, b = rolling.unpack_run(np.array([x["run"] for x in flat], np.int64))
-                n = b - a + 1
-                ends = np.cumsum(n)
-                start = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first[of] + a, n)
-                each = marks.hash(start, start + window).view(np.int64)
+                hashes, first = rolling.word_hashes(rolling.split_words(piece.column(2).to_pylist()))
+                runs = piece.column(3)
+                of, _ = _steps(runs.value_lengths().to_numpy().astype(np.int64))
+                flat = runs.flatten()
+                a, at, b = rolling.unpack_run(flat.field("run").to_numpy())
+                n = b - a + window
+                _, step = _steps(n)
+                words = hashes[np.repeat(first[of] + a, n) + step]
+                held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype("int32")), pa.array(words.view(np.int64)))
+                own = pa.array(of)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column(width - 2).take(pa.array(of)),
-                        piece.column(doc_at).take(pa.array(of)),
-                        pa.array([x["mark"] for x in flat], pa.int64()),
-                        pa.array([x["hot"] for x in flat], pa.bool_()),
-                        pa.array(a),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("int32")), pa.array(each)),
-                    ],
-                    names=names,
+                    [piece.column(0).take(own), piece.column(1).take(own), flat.field("mark"), flat.field("hot"), pa.array(a), pa.array(at), held],
+                    names=["row", "doc", "mark", "hot", "low", "anchor", "words"],
                 )
 
-    together = base.join(cells, base["__row"] == F.col("__of"))
-    cut_out = together.mapInArrow(windows, "row long, doc long, mark long, hot boolean, low long, hashes array<long>")
+    together = base.select("row", "doc", "text").join(cells, same).select("row", "doc", "text", "runs")
+    cut_out = together.mapInArrow(contexts, f"row long, doc {kind}, mark long, hot boolean, low long, anchor long, words array<long>")
     buckets = max(1, -(-open_runs.filter("not hot").count() // BUCKET_RUNS))
 
-    def align(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in frames if b.num_rows]
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
         if held:
-            whole = pa.Table.from_batches(held)
-            marks = [np.asarray(m) for m in whole.column("hashes").to_pandas()]
-            spans = _align(*(whole.column(c).to_numpy() for c in ("row", "doc", "low")), marks, window)
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in spans], names=["row", "a", "b"])
+            whole = pa.Table.from_batches(held).combine_chunks()
+            rank = np.unique(whole.column("doc").to_numpy(), return_inverse=True)[1]
+            at, a, b = _align(np.arange(len(rank)), rank, *(whole.column(c).to_numpy() for c in ("low", "anchor")), whole.column("words").chunk(0), window)
+            own = pa.array(at)
+            yield pa.RecordBatch.from_arrays([*(whole.column(c).take(own).combine_chunks() for c in ("row", "doc")), pa.array(a), pa.array(b)], names=["row", "doc", "a", "b"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in _batches(batch):
+                held = piece.column("words")
+                first = held.offsets.to_numpy().astype(np.int64)
+                of, step = _steps(np.diff(first) - window + 1)
+                start = first[of] + step
+                marks = rolling.Stretches(held.values.to_numpy().view(np.uint64)).hash(start, start + window)
+                own = pa.array(of)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("row").take(own), piece.column("doc").take(own), pa.array(piece.column("low").to_numpy()[of] + step), pa.array(marks.view(np.int64))],
+                    names=["row", "doc", "a", "hash"],
+                )
 
-    cool = cut_out.filter("not hot").repartition(buckets, "mark").select("row", "doc", "low", "hashes")
-    spans = settled.unionByName(cool.mapInArrow(align, "row long, a long, b long"))
+    spans_of = f"row long, doc {kind}, a long, b long"
+    cool = cut_out.filter("not hot").repartition(buckets, "mark").select("row", "doc", "low", "anchor", "words")
+    spans = settled.unionByName(cool.mapInArrow(align, spans_of))
     if open_runs.filter("hot").limit(1).count():
-        each = cut(cut_out.filter("hot").select("row", "doc", "low", F.posexplode("hashes").alias("k", "hash")))
-        least = each.groupBy("hash").agg(F.min("doc").alias("least"))
-        start = F.col("low") + F.col("k")
-        hot = each.join(least, "hash").filter("doc > least").select("row", start.alias("a"), (start + window).alias("b"))
+        each = cut(cut_out.filter("hot").select("row", "doc", "low", "words").mapInArrow(windows, f"row long, doc {kind}, a long, hash long"))
+        least = cut(each.groupBy("hash").agg(F.min("doc").alias("least")))
+        hot = each.join(least, "hash").filter("doc > least").select("row", "doc", "a", (F.col("a") + window).alias("b"))
         spans = spans.unionByName(hot.distinct())
-    spans = spans.groupBy(F.col("row").alias("__of")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-
-    kind = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-    schema = T.StructType(
-        [*docs.schema.fields, T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", kind)]
-    )
+    spans = spans.groupBy(F.col("row").alias("__row"), F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
         for batch in batches:
             for piece in _batches(batch):
                 kept, removed, count, runs = [], [], [], []
-                for words, spans in zip(rolling.split_words(piece.column(text_at).to_pylist()), piece.column(width + 1).to_pylist()):
+                for words, spans in zip(rolling.split_words(piece.column(1).to_pylist()), piece.column(2).to_pylist()):
                     both = rolling.merged(np.array([x["a"] for x in spans]), np.array([x["b"] for x in spans])) if spans else []
                     left = words if not both else [w for a, b in zip([0, *(b for _, b in both)], [*(a for a, _ in both), len(words)]) for w in words[a:b]]
                     kept.append(b" ".join(left).decode())
@@ -181,11 +205,14 @@ def remove_copied(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     removed.append(len(words) - len(left))
                     runs.append([{"a": a, "b": b} for a, b in both])
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns[: width - 2], pa.array(kept, pa.string()), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, arrow)],
-                    names=[f.name for f in schema.fields],
+                    [piece.column(0), piece.column(1), pa.array(kept, pa.string()), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, arrow)],
+                    names=["given", "text", "kept", "n_words", "n_removed", "spans"],
                 )
 
-    return base.join(spans, base["__row"] == F.col("__of"), "left").mapInArrow(remove, schema)
+    schema = f"given {base.schema['given'].dataType.simpleString()}, text string, kept string, n_words long, n_removed long, spans array<struct<a:long,b:long>>"
+    out = base.join(spans, same, "left").select("given", "text", "spans").mapInArrow(remove, schema)
+    own = [F.col("text").alias(c) if c == text_col else F.col("given")[c].alias(c) for c in given]
+    return out.select(*own, "kept", "n_words", "n_removed", "spans")
 
 
 def banded_alignment(left: np.ndarray, right: np.ndarray, diagonal: int, band: int) -> list[tuple[int, int]]:
