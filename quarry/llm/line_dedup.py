@@ -10,6 +10,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 #: The ASCII white space a key is stripped of.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -34,13 +36,15 @@ def dedup_lines(
     """Drop lines whose key many documents hold; the largest id that holds a key keeps its lines.
 
     Returns the input's columns with the text rewritten, plus ``n_lines`` and ``n_dropped`` (input columns of these
-    two names are replaced). Each row is a document. A null or empty text is one empty line. Rows that repeat an id
-    count as documents of their own; if they hold the largest id, each keeps its lines. A null id is smaller than any
-    other. An empty table gives an empty table.
+    two names are replaced). A null or empty text is one empty line. Rows that repeat an id count as one holder of a
+    line; if they hold the largest id, each keeps its lines. A null id is smaller than any other and a holder, too. An
+    empty table gives an empty table.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    base = docs.select(F.col(id_col).alias("__id"), text.alias("__t"))
+    docs = docs.drop("n_lines", "n_dropped")
+    given = docs.columns
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in given if c != text_col]).alias("__given"), F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
+    lines = F.split("__t", "\n", -1)
+    base = docs.select("__id", "__t")
 
     long_keys = F.array_distinct(
         F.filter(F.transform(F.split("__t", "\n", -1), line_key), lambda k: F.char_length(k) >= min_chars)
@@ -48,11 +52,13 @@ def dedup_lines(
     held = (
         base.select("__id", F.explode(long_keys).alias("__k"))
         .select("__id", *_hashes(F.col("__k")))
+        .distinct()
         .groupBy("__h1", "__h2")
         .agg(F.count(F.lit(1)).alias("__n"), F.max("__id").alias("__keep"))
         .filter(F.col("__n") >= min_docs)
         .drop("__n")
     )
+    held = cut(held)  # adaptive execution splits a frequent line only if both sides of the join come from a shuffle
     placed = (
         base.select("__id", F.xxhash64("__t").alias("__th"), F.posexplode(F.split("__t", "\n", -1)).alias("__p", "__l"))
         .filter(F.char_length("__l") >= min_chars)
@@ -67,17 +73,15 @@ def dedup_lines(
         .agg(F.collect_set("__p").alias("__drop"))
         .withColumnsRenamed({"__id": "__did", "__th": "__dth"})
     )
-    out = docs.withColumn("__id", F.col(id_col)).withColumn("__th", F.xxhash64(text))
+    out = docs.withColumn("__th", F.xxhash64("__t"))
     out = out.join(drops, F.col("__id").eqNullSafe(F.col("__did")) & (F.col("__th") == F.col("__dth")), "left")
     n = F.size(lines)
     kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__drop"))
-    rebuilt = F.when(F.col("__drop").isNull(), text).otherwise(
+    rebuilt = F.when(F.col("__drop").isNull(), F.col("__t")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     )
-    return out.withColumns(
-        {
-            "n_lines": n.cast("long"),
-            "n_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("long"),
-            "__new": rebuilt,
-        }
-    ).withColumn(text_col, F.col("__new")).drop("__id", "__th", "__did", "__dth", "__drop", "__new")
+    return out.select(
+        *[rebuilt.alias(c) if c == text_col else F.col("__given")[c].alias(c) for c in given],
+        n.cast("long").alias("n_lines"),
+        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
+    )
