@@ -28,10 +28,10 @@ def op2_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_captures(table(spark, sf_dir, "pages"), path, least_revisit_bytes=0)
-    page = F.col("metadata")[0]["fields"]
+    page = F.get("metadata", F.lit(0))["fields"]
     captures = warc.assemble(cut(warc.read_records(spark, path).drop("payload"))).select(
         "capture_id", "type", "refers_to", "response",
-        F.filter(page, lambda x: x["key"] == "page-id")[0]["value"].cast("long").alias("metadata"),
+        F.get(F.filter(page, lambda x: x["key"] == "page-id"), F.lit(0))["value"].try_cast("long").alias("metadata"),
     )
     own = F.col("response")
     whole = F.when(F.col("type") == "revisit", F.col("original.response")).otherwise(own)

@@ -67,8 +67,9 @@ def write_captures(
     """Write request, response or revisit, and metadata of every page as gzip archives below ``path``.
 
     Of pages with equal payloads of at least ``least_revisit_bytes`` bytes that with the largest id is the response and
-    the others revisit it. A null payload is empty, a null url is empty, and line ends in urls become spaces. Rows equal
-    in id and payload are one capture. Rows with a null id are responses of their own payload.
+    the others revisit it; rows that share the largest id are all responses. A null payload is empty, a null url is
+    empty, and line ends in urls become spaces. Rows with a null id are responses of their own payload and have no
+    page-id field. Rows equal in id, url and payload are written as often as they stand there, under one record id.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     base = pages.select(
@@ -80,27 +81,27 @@ def write_captures(
     copies = (
         base.filter(F.octet_length("p") >= least_revisit_bytes)
         .groupBy("digest")
-        .agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.max(F.struct("id", "uri")).alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
         .select(F.col("digest").alias("__d"), "first")
     )
     copies = cut(copies)
     copies = F.broadcast(copies) if copies.count() <= MOST_SPREAD else copies
-    base = base.join(copies, F.col("digest") == F.col("__d"), "left").withColumn("revisit", F.coalesce(F.col("id") < F.col("first"), F.lit(False)))
-    me = record_id("capture", F.col("id"), F.col("digest"))
+    base = base.join(copies, F.col("digest") == F.col("__d"), "left").withColumn("revisit", F.coalesce(F.col("id") < F.col("first.id"), F.lit(False)))
+    me = record_id("capture", F.col("id"), F.col("digest"), F.col("uri"))
     concurrent = F.concat(F.lit("WARC-Concurrent-To: "), me)
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"))
-    refers = F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To: "), record_id("capture", F.col("first"), F.col("digest"))))
+    refers = F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To: "), record_id("capture", F.col("first.id"), F.col("digest"), F.col("first.uri"))))
     profile = F.when(F.col("revisit"), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
     get = F.concat(F.lit("GET "), F.col("uri"), F.lit(f" HTTP/1.1{CRLF}{CRLF}"))
-    about = F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(CRLF))
+    about = F.coalesce(F.concat(F.lit("page-id: "), F.col("id").cast("string"), F.lit(CRLF)), F.lit(""))
     records = F.array(
-        _record(F.lit("request"), record_id("request", F.col("id"), F.col("digest")), F.col("uri"), [concurrent], "application/http; msgtype=request", get),
+        _record(F.lit("request"), record_id("request", F.col("id"), F.col("digest"), F.col("uri")), F.col("uri"), [concurrent], "application/http; msgtype=request", get),
         _record(
             F.when(F.col("revisit"), "revisit").otherwise("response"), me, F.col("uri"), [digest, refers, profile],
             "application/http; msgtype=response", F.concat(F.lit(HTTP_OK), F.when(F.col("revisit"), "").otherwise(F.col("p"))),
         ),
-        _record(F.lit("metadata"), record_id("metadata", F.col("id"), F.col("digest")), F.col("uri"), [concurrent], "application/warc-fields", about),
+        _record(F.lit("metadata"), record_id("metadata", F.col("id"), F.col("digest"), F.col("uri")), F.col("uri"), [concurrent], "application/warc-fields", about),
     )
     out = base.select(F.explode(records).alias("value"))
     out.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
@@ -171,12 +172,15 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: the response or revisit with the requests and metadata that are concurrent to it.
 
-    Links count in either direction and over one satellite in between (metadata of a request of a response). Records
-    that repeat an id are one. Requests and metadata that lead to no capture are left out; a capture without them has
-    empty arrays. An empty archive gives no rows. Records may come without their payload column; then captures have none.
+    Links count in either direction and over one satellite in between (metadata of a request of a response). A capture
+    that the archive holds n times gives n equal rows; requests and metadata that repeat an id are one. Those that lead
+    to no capture are left out; a capture without them has empty arrays. An empty archive gives no rows. Records may come
+    without their payload column; then captures have none.
     """
     body = ["payload"] * ("payload" in records.columns)
-    records = records.dropDuplicates(["record_id"])
+    records = records.groupBy("record_id").agg(
+        *[F.first(c).alias(c) for c in records.columns if c != "record_id"], F.count(F.lit(1)).alias("__copies")
+    )
     anchors = records.filter(F.col("type").isin("response", "revisit"))
     others = records.filter(F.col("type").isin("request", "metadata"))
     ids = anchors.select(F.col("record_id").alias("capture_id"))
@@ -195,7 +199,11 @@ def assemble(records: DataFrame) -> DataFrame:
         ])
     )
     empty = lambda c: F.coalesce(F.col(c), F.array())
-    return anchors.join(satellites, anchors["record_id"] == satellites["capture_id"], "left").select(
+    # in two steps, so that no array grows with the number of copies
+    some = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1, F.lit(1 << 12).cast("long")))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("__copies") - F.col("__from"), F.lit(1 << 12))))
+    joined = anchors.join(satellites, anchors["record_id"] == satellites["capture_id"], "left")
+    return joined.withColumn("__from", some).withColumn("__nth", each).select(
         F.col("record_id").alias("capture_id"), "type", "uri", "date", "refers_to",
         F.struct(*body, "payload_bytes", "payload_digest").alias("response"), empty("requests").alias("requests"),
         empty("metadata").alias("metadata"),
@@ -212,5 +220,5 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     wanted = captures.filter("refers_to is not null").select(F.col("refers_to").alias("__id")).distinct()
     found = captures.join(wanted, captures["capture_id"] == wanted["__id"]).select(
         "__id", F.struct("capture_id", "response", "metadata").alias("original")
-    )
+    ).dropDuplicates(["__id"])
     return captures.join(found, F.col("refers_to") == F.col("__id"), "left").drop("__id")
