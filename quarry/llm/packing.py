@@ -7,14 +7,14 @@ a hash share of the pieces whose number grows with the table, so a task holds a
 from __future__ import annotations
 
 import functools
-import sys
+import itertools
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,47 +22,93 @@ from pyspark.sql import types as T
 #: Distinct words a worker remembers the ids of, some 200 MB; beyond it the half learned last is forgotten, as frequent
 #: words are met early.
 REMEMBERED = 800_000
+#: Bytes of text worked on at once.
+BLOCK_BYTES = 8 << 20
+#: The byte-level alphabet's letter for a space (fixed value).
+SPACE = "\u0120"
 
 
-def ids_as_bytes(ids: list[int]) -> bytes:
-    """Little-endian unsigned 32-bit numbers."""
-    held = array("I", ids)
-    if sys.byteorder == "big":
-        held.byteswap()
-    return held.tobytes()
+class Words:
+    """Ids of a block of texts by way of their space-separated words.
 
-
-class Words(dict):
-    """Ids of a text as little-endian unsigned 32-bit bytes, by way of its space-separated parts.
-
-    The pre-tokeniser never joins what stands before a single space with what follows it, so each part with its leading
-    space has ids of its own. Texts with two spaces in a row are tokenised as a whole.
+    The pre-tokeniser never joins what stands before a single space with what follows it, so each word with its leading
+    space has ids of its own, and words met before are looked up: their ids lie one after another in one array. New
+    words are tokenised many at once; the first id of each is the one whose token begins with a space. Texts with two
+    spaces in a row are tokenised as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-
-    def learn(self, parts: set[str]) -> None:
-        new = list(parts.difference(self))
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[part] = ids_as_bytes(found.ids)
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text; words new to a block of texts are tokenised together."""
-        if len(self) > REMEMBERED:
-            for part in list(self)[REMEMBERED // 2 :]:
-                del self[part]
-        split = [None if "  " in t or not t else t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else None for t in texts]
-        self.learn({p for parts in split if parts for p in parts})
-        for t, parts in zip(texts, split):
-            if parts is not None:
-                yield b"".join(map(self.__getitem__, parts))
-            else:
-                yield ids_as_bytes(self.tokenizer.encode(t, add_special_tokens=False).ids)
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[k for token, k in vocabulary.items() if token.startswith(SPACE)]] = True
+        self.inner: dict[str, int] = {}
+        self.heads: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
+
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> range:
+        """Append sequences of ids; their numbers."""
+        used, n = int(self.ends[-1]), len(self.ends) - 1
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:used], np.zeros(max(used, len(ids)), np.uint32)])
+        self.ids[used : used + len(ids)] = ids
+        self.ends = np.concatenate([self.ends, used + np.cumsum(lengths)])
+        return range(n, n + len(lengths))
+
+    def _add_each(self, texts: list[str]) -> range:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._add(np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.array([len(f) for f in found], np.int64))
+
+    def _learn(self, words: list[str]) -> None:
+        if "" in words:  # what follows a last space; it must not meet another one
+            words.remove("")
+            self.inner[""] = self._add_each([" "])[0]
+        lines = [" " + " ".join(words[low : low + 512]) for low in range(0, len(words), 512)]
+        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in found), np.uint32)
+        starts = np.flatnonzero(self.opens[ids])
+        self.inner.update(zip(words, self._add(ids, np.diff(np.append(starts, len(ids))))))
+
+    def _forget(self) -> None:
+        """Keep the half of the words that was learned first."""
+        if len(self.inner) + len(self.heads) > REMEMBERED:
+            n = sorted([*self.inner.values(), *self.heads.values()])[REMEMBERED // 2]
+            self.inner, self.heads = ({w: k for w, k in held.items() if k < n} for held in (self.inner, self.heads))
+            self.ends = self.ends[: n + 1]
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id after it, and where each text's begin (one more at the end)."""
+        self._forget()
+        texts = texts.fill_null("")
+        odd = np.flatnonzero(pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False))
+        whole = texts.take(pa.array(odd)).to_pylist()
+        if len(odd):
+            mask = np.zeros(len(texts), bool)
+            mask[odd] = True
+            texts = pc.if_else(pa.array(mask), "", texts)
+        split = pc.split_pattern(texts, " ")
+        count = split.value_lengths().to_numpy().astype(np.int64)
+        first = np.cumsum(count) - count
+        flat = split.flatten()
+        heads = flat.take(pa.array(first)).to_pylist()
+        new = list(set(heads).difference(self.heads))
+        self.heads.update(zip(new, self._add_each(new)))
+        told = flat.dictionary_encode()
+        words = told.dictionary.to_pylist()
+        self._learn([w for w in words if w not in self.inner])
+        at = np.fromiter(map(self.inner.__getitem__, words), np.int64, len(words))[told.indices.to_numpy()]
+        at[first] = np.fromiter(map(self.heads.__getitem__, heads), np.int64, len(heads))
+        after = len(self.ends) - 1  # what follows is not remembered
+        at[first[odd]] = np.array(self._add_each(whole), np.int64)
+        end = self._add(np.array([end_id], np.uint32), np.array([1]))[0]
+        at = np.insert(at, first + count, end)
+        start, size = self.ends[at], self.ends[at + 1] - self.ends[at]
+        upto = np.cumsum(size)
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(start - upto + size, size)]
+        self.ends = self.ends[: after + 1]
+        return ids, np.concatenate([[0], upto[np.cumsum(count + 1) - 1]])
 
 
 @functools.lru_cache(maxsize=2)
@@ -73,6 +119,15 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of rows with about BLOCK_BYTES of text, one row at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+    part = (np.cumsum(size) - size) // BLOCK_BYTES
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows]):
+        yield batch.slice(low, high - low)
+
+
 def tokenise(
     docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id",
     text_col: str = "text", with_ids: bool = True,
@@ -86,32 +141,24 @@ def tokenise(
     fields = [T.StructField(id_col, id_type), T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]
     fields += [T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType())]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(tokenizer_path)
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                of, start, length, crc, total, ids = [], [], [], [], [], []
-                for k, found in enumerate(words.encode(texts)):
-                    found += end
-                    n = len(found) // 4
-                    for s in range(0, n, window):
-                        piece = found[4 * s : 4 * (s + window)]
-                        of.append(k)
-                        start.append(s)
-                        length.append(len(piece) // 4)
-                        crc.append(zlib.crc32(piece))
-                        total.append(n)
-                        if with_ids:
-                            ids.append(np.frombuffer(piece, dtype="<i4"))
-                out = [part.column(0).take(pa.array(of, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
+            for part in _blocks(batch):
+                ids, ends = words.encode(part.column(1), end_id)
+                total = np.diff(ends)
+                count = -(-total // window)
+                of = np.repeat(np.arange(len(total)), count)
+                start = (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)) * window
+                length = np.minimum(window, total[of] - start)
+                low = ends[of] + start
+                held = ids.astype("<u4", copy=False)
+                crc = [zlib.crc32(held[a:b]) for a, b in zip(low.tolist(), (low + length).tolist())]
+                out = [part.column(0).take(pa.array(of)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total[of]))]
                 if with_ids:
-                    offsets = np.concatenate([[0], np.cumsum(length)]).astype("int32")
-                    values = np.concatenate(ids) if ids else np.zeros(0, "int32")
-                    out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())))
+                    offsets = np.append(low, ends[-1]).astype("int32")
+                    out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))

@@ -1,9 +1,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from quarry.llm import packing
 from quarry.llm.queries import op6_packing, tokenizer_path
@@ -15,18 +17,29 @@ def ids_of(tokenizer, text):
 
 
 @pytest.fixture(scope="module")
-def words():
-    return packing._words(tokenizer_path())
+def plain():
+    """The tokenizer as anybody would load it."""
+    return Tokenizer.from_file(tokenizer_path())
 
 
 ODD = st.lists(st.sampled_from([*" ab'sé1.,\n\t\r-\x00日\u3000\x0b", "  ", "<|endoftext|>", "the", "\n "]), max_size=30).map("".join)
 
 
-@settings(max_examples=400, deadline=None)
-@given(ODD)
-def test_words_give_the_tokenizers_ids(words, text):
-    expected = np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    assert next(iter(words.encode([text]))) == expected
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | ODD, min_size=1, max_size=6))
+def test_words_give_the_tokenizers_ids(plain, texts):
+    ids, ends = packing._words(tokenizer_path()).encode(pa.array(texts, pa.string()), 1)
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [ids_of(plain, t) for t in texts]
+
+
+def test_forgotten_words_are_learned_again(plain, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    words = packing.Words(tokenizer_path())
+    for k in range(30):
+        texts = [f"common w{k}a w{k}b  x" if k % 3 else f"common w{k}a w{k - 1}b w{k // 2} "]
+        ids, _ = words.encode(pa.array(texts), 1)
+        assert ids.tolist() == ids_of(plain, texts[0])
+    assert len(words.inner) + len(words.heads) < 60
 
 
 @settings(max_examples=200, deadline=None)
@@ -64,11 +77,10 @@ def check(rows, docs, tokenizer):
     return len(windows)
 
 
-def test_whole_table(spark):
+def test_whole_table(spark, plain):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     rows = op6_packing(spark, SF).collect()
-    tokenizer = packing._words(tokenizer_path()).tokenizer
-    used = check(rows, docs, tokenizer)
+    used = check(rows, docs, plain)
     assert sum(r.length for r in rows) > 0.97 * 2048 * (used - 1)
 
 

@@ -3,9 +3,10 @@
 from collections import defaultdict
 
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quarry.llm import decontam, oracles, packing
+from quarry.llm import decontam, oracles
 from quarry.llm.queries import tokenizer_path
 from tests.compare import duck
 from tests.conftest import SF
@@ -47,7 +48,7 @@ def test_stages_against_plain_versions(spark, tmp_path):
     got = docs.orderBy("doc_id").collect()
     assert [(r.doc_id, r.text) for r in got] == plain and all(r.n_chars == len(r.text) for r in got)
     rows = corpus_pipeline.run(spark, SF).collect()
-    check(rows, plain, packing._words(tokenizer_path()).tokenizer)
+    check(rows, plain, Tokenizer.from_file(tokenizer_path()))
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None, None), (None, "", "en", "s", 0), (2, "word " * 200, "en", "s", 1000)]])
