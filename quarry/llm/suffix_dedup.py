@@ -4,7 +4,7 @@ Only suffixes that start at winnowed anchors are kept, and a suffix stands for t
 anchor. Runs whose whole context occurs twice are settled by hash with map-side combine. What is left, runs that meet
 others in part, goes to buckets: sampled splitters range-partition suffixes by their leading bytes, each bucket sorts
 the suffixes of its windows by multikey quicksort, eight bytes at a time, and neighbours equal to the full depth are
-repeats. Equal leading bytes never straddle two buckets; anchors too frequent for one bucket are compared across all
+repeats. A splitter never cuts equal leading bytes, so no equal neighbours lie across a boundary; anchors too frequent for one bucket are compared across all
 tasks by window hash.
 """
 
@@ -16,13 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..runtime import cut
 from . import rolling
 
 #: Runs of a bucket, and distinct contexts of one anchor beyond which windows are compared by hash instead.
 BUCKET_RUNS, HOT_CONTEXTS = 20_000, 50_000
+#: Suffixes of a segment that isn't split further but sorted.
+SHORT = 4096
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -35,51 +36,71 @@ def _batches(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]
 
 
 def runs_of(base: DataFrame, window: int, gram: int) -> DataFrame:
-    """row, mark, context, run of every anchor in the texts of (row, text)."""
+    """row, twin, mark, context, run of every anchor in the texts of (row, twin, text)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _batches(batch):
-                rows, texts = part.column(0).to_numpy(), _texts(part.column(1))
+                texts = _texts(part.column(2))
                 for held in rolling.blocks([len(t) for t in texts], window):
                     cuts = [texts[k][a:b] for k, a, b in held]
                     offsets = np.concatenate([[0], np.cumsum([len(c) for c in cuts])])
                     found = rolling.anchor_runs(rolling.IMAGE[np.frombuffer(b"".join(cuts), np.uint8)], offsets, gram, window)
                     of, shift = found["part"], np.array([a for _, a, _ in held])
                     run = rolling.pack_run(*(found[x] + shift[of] for x in ("low", "anchor", "high")))
-                    row = rows[np.array([k for k, _, _ in held])[of]]
+                    own = pa.array(np.array([k for k, _, _ in held])[of])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(row), *(pa.array(found[x].view(np.int64)) for x in ("mark", "context")), pa.array(run)],
-                        names=["row", "mark", "context", "run"],
+                        [part.column(0).take(own), part.column(1).take(own), *(pa.array(found[x].view(np.int64)) for x in ("mark", "context")), pa.array(run)],
+                        names=["row", "twin", "mark", "context", "run"],
                     )
 
-    return base.mapInArrow(find, "row long, mark long, context long, run long")
+    return base.mapInArrow(find, "row long, twin int, mark long, context long, run long")
 
 
 def multikey_groups(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """For each suffix, whether another one has the same first ``depth`` bytes.
 
-    ``words`` has the eight bytes from every position as a big-endian number. Suffixes are split by eight bytes at a
-    time, three ways as in multikey quicksort (less, equal, greater, here by a sort), and only equal ones go on. The
-    last step overlaps the one before if the depth isn't a multiple of eight.
+    ``words`` has the eight bytes from every position as a big-endian number, a symbol here; the last one overlaps the
+    one before if the depth isn't a multiple of eight. Multikey quicksort: a segment is split three ways around a pivot,
+    less and greater stay at their symbol, equal goes on to the next one. Short segments are finished together.
     """
-    alive, group = np.arange(len(at)), np.zeros(len(at), np.int64)
-    steps = [*range(0, depth - 7, 8)]
-    if depth % 8:
-        steps.append(depth - 8)
-    for step in steps:
-        key = words[at[alive] + step]
+    out = np.zeros(len(at), bool)
+    steps = [*range(0, depth - 7, 8)] + [depth - 8] * bool(depth % 8)
+    short: list[tuple[np.ndarray, int]] = []
+    stack = [(np.arange(len(at)), 0)]
+    while stack:
+        held, level = stack.pop()
+        if level == len(steps):
+            out[held] = len(held) > 1
+        elif len(held) > SHORT:
+            key = words[at[held] + steps[level]]
+            sample = key[:: len(key) // 31]
+            pivot = np.partition(sample, len(sample) // 2)[len(sample) // 2]
+            stack += [(held[key < pivot], level), (held[key == pivot], level + 1), (held[key > pivot], level)]
+        elif len(held) > 1:
+            short.append((held, level))
+    if short:
+        _finish(words, at, steps, short, out)
+    return out
+
+
+def _finish(words: np.ndarray, at: np.ndarray, steps: list[int], short: list[tuple[np.ndarray, int]], out: np.ndarray) -> None:
+    """Sort all short segments by a symbol at a time; what has an equal neighbour goes on to its next symbol."""
+    alive = np.concatenate([held for held, _ in short])
+    group = np.repeat(np.arange(len(short)), [len(held) for held, _ in short])
+    level = np.repeat([level for _, level in short], [len(held) for held, _ in short])
+    offset = np.array(steps)
+    while len(alive):
+        key = words[at[alive] + offset[level]]
         order = np.lexsort((key, group))
-        alive, group, key = alive[order], group[order], key[order]
-        if len(alive) < 2:
-            return np.zeros(len(at), bool)
+        alive, group, level, key = alive[order], group[order], level[order], key[order]
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
         group = np.cumsum(new)
-        alone = new & np.concatenate([new[1:], [True]])
-        alive, group = alive[~alone], group[~alone]
-    out = np.zeros(len(at), bool)
-    out[alive] = True
-    return out
+        on = ~(new & np.concatenate([new[1:], [True]]))
+        alive, group, level = alive[on], group[on], level[on] + 1
+        done = level == len(steps)
+        out[alive[done]] = True
+        alive, group, level = alive[~done], group[~done], level[~done]
 
 
 def _eight_bytes(joined: np.ndarray) -> np.ndarray:
@@ -91,8 +112,8 @@ def _eight_bytes(joined: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bucket(rows: np.ndarray, runs: np.ndarray, copies: np.ndarray, contexts: list[bytes], window: int):
-    """(row, first byte, end) of what repeats in a bucket's runs that have no copy."""
+def _bucket(runs: np.ndarray, copies: np.ndarray, contexts: list[bytes], window: int):
+    """(index of the run, first byte, end) of what repeats in a bucket's runs that have no copy."""
     low, _, high = rolling.unpack_run(runs)
     starts = np.concatenate([[0], np.cumsum([len(c) for c in contexts])[:-1]]).astype(np.int64)
     count = high - low + 1
@@ -101,7 +122,7 @@ def _bucket(rows: np.ndarray, runs: np.ndarray, copies: np.ndarray, contexts: li
     words = _eight_bytes(np.frombuffer(b"".join(contexts) + b"\0" * 8, np.uint8))
     twice = multikey_groups(words, starts[of] + step, window)
     told = twice & (copies[of] == 1)
-    return _joined(rows[of[told]], low[of[told]] + step[told], window)
+    return _joined(of[told], low[of[told]] + step[told], window)
 
 
 def _joined(rows: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,11 +137,7 @@ def _joined(rows: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarr
     return rows[first], starts[first], starts[last] + window
 
 
-SPANS = "row long, a long, b long"
-
-
-def _span_batch(spans) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in spans], names=["row", "a", "b"])
+SPANS = "row long, twin int, a long, b long"
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = 200, gram: int = 24) -> DataFrame:
@@ -131,44 +148,45 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     bytes. Rows that repeat an id are documents of their own; a row that repeats another one wholly repeats its text.
     Input columns with the new names are replaced. An empty table gives an empty table.
     """
-    names = ["kept", "n_bytes", "n_removed", "n_spans", "spans"]
-    docs = docs.drop(*names)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.withColumn("__row", F.xxhash64(F.col(id_col), text))
-    found = runs_of(base.select("__row", text_col), window, gram)
-    shared = found.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
+    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "spans")
+    given, text = docs.columns, F.coalesce(F.col(text_col), F.lit(""))
+    key = [F.xxhash64(F.col(id_col), text).alias("row"), F.hash(F.col(id_col), text).alias("twin")]  # 96 bits tell rows apart
+    others = F.struct(*[F.col(f"`{c}`") for c in given if c != text_col])
+    base = docs.select(*key, F.col(text_col).alias("text"), others.alias("given"))
+    found = runs_of(base.select("row", "twin", "text"), window, gram)
+    # both sides of a join come from a shuffle or a checkpoint, so that adaptive execution can split frequent anchors
+    shared = cut(found.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark"))
     met = cut(found.join(shared, "mark"))
-    classes = met.groupBy("mark", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "run")).alias("one"))
-    classes = cut(classes.select("mark", "context", "copies", "one.row", "one.run"))
+    classes = met.groupBy("mark", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "twin", "run")).alias("one"))
+    classes = cut(classes.select("mark", "context", "copies", "one.row", "one.twin", "one.run"))
     whole = met.join(classes.filter("copies > 1").select("mark", "context"), ["mark", "context"], "left_semi")
     low, high = F.shiftright("run", 24), F.shiftright("run", 24) + F.col("run").bitwiseAND(4095)
-    settled = whole.select("row", low.alias("a"), (high + window).alias("b")).distinct()
+    settled = whole.select("row", "twin", low.alias("a"), (high + window).alias("b")).distinct()
 
     part = classes.groupBy("mark").agg(F.count(F.lit(1)).alias("contexts"), F.min("copies").alias("least")).filter("contexts > 1 and least = 1")
-    open_runs = classes.join(part.select("mark", (F.col("contexts") > HOT_CONTEXTS).alias("hot")), "mark")
-    wanted = open_runs.groupBy("row").agg(F.collect_list(F.struct("run", "copies", "hot")).alias("runs"))
-    cells = wanted.withColumnRenamed("row", "__of")
-    width = len(base.columns)
-    text_at = base.columns.index(text_col)
+    part = cut(part.select("mark", (F.col("contexts") > HOT_CONTEXTS).alias("hot")))
+    open_runs = classes.join(part, "mark")
+    cells = open_runs.groupBy(F.col("row").alias("__row"), F.col("twin").alias("__twin")).agg(F.collect_list(F.struct("run", "copies", "hot")).alias("runs"))
+    same = (F.col("row") == F.col("__row")) & (F.col("twin") == F.col("__twin"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[] for _ in range(7)]
             size = 0
-            for row, t, runs in zip(batch.column(width - 1).to_pylist(), _texts(batch.column(text_at)), batch.column(width + 1).to_pylist()):
+            for row, twin, t, runs in zip(*(batch.column(k).to_pylist() for k in (0, 1)), _texts(batch.column(2)), batch.column(3).to_pylist()):
                 for x in runs:
                     a, at, b = rolling.unpack_run(np.int64(x["run"]))
                     ctx = t[a : b + window]
-                    for held, v in zip(out, (row, x["run"], x["copies"], x["hot"], t[at : at + gram], ctx)):
+                    for held, v in zip(out, (row, twin, x["run"], x["copies"], x["hot"], t[at : at + gram], ctx)):
                         held.append(v)
                     size += len(ctx)
                 if size > 8 << 20:
                     yield _context_batch(out)
-                    out, size = [[], [], [], [], [], []], 0
+                    out, size = [[] for _ in range(7)], 0
             yield _context_batch(out)
 
-    together = base.join(cells, base["__row"] == F.col("__of"))
-    cut_out = together.mapInArrow(contexts, "row long, run long, copies long, hot boolean, head binary, context binary")
+    together = base.select("row", "twin", "text").join(cells, same).select("row", "twin", "text", "runs")
+    cut_out = together.mapInArrow(contexts, "row long, twin int, run long, copies long, hot boolean, head binary, context binary")
 
     def sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -176,30 +194,26 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             whole = pa.Table.from_batches(held)
             col = lambda c: whole.column(c).to_numpy()
             # a row that stands twice in the table gives its contexts twice
-            keep = np.unique(np.stack([col("row"), col("run")]), axis=1, return_index=True)[1]
+            keep = np.unique(np.stack([col("row"), col("twin"), col("run")]), axis=1, return_index=True)[1]
             texts = whole.column("context").to_pylist()
-            yield _span_batch(_bucket(col("row")[keep], col("run")[keep], col("copies")[keep], [texts[k] for k in keep], window))
+            of, a, b = _bucket(col("run")[keep], col("copies")[keep], [texts[k] for k in keep], window)
+            own = pa.array(keep[of])
+            yield pa.RecordBatch.from_arrays([*(whole.column(c).take(own).combine_chunks() for c in ("row", "twin")), pa.array(a), pa.array(b)], names=["row", "twin", "a", "b"])
 
     buckets = max(1, -(-open_runs.filter("not hot").count() // BUCKET_RUNS))
-    cool = cut_out.filter("not hot").repartitionByRange(buckets, "head").select("row", "run", "copies", "context")
+    cool = cut_out.filter("not hot").repartitionByRange(buckets, "head").select("row", "twin", "run", "copies", "context")
     spans = settled.unionByName(cool.mapInArrow(sort_bucket, SPANS))
     if open_runs.filter("hot").limit(1).count():
         spans = spans.unionByName(_hot_spans(cut_out.filter("hot"), window))
-    spans = spans.groupBy(F.col("row").alias("__of")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-
-    added = [
-        T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
-        T.StructField("n_spans", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))),
-    ]
+    spans = spans.groupBy(F.col("row").alias("__row"), F.col("twin").alias("__twin")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
         for batch in batches:
             for part in _batches(batch):
                 kept, removed, runs = [], [], []
-                texts = _texts(part.column(text_at))
-                for t, found in zip(texts, part.column(width + 1).to_pylist()):
+                texts = _texts(part.column(1))
+                for t, found in zip(texts, part.column(2).to_pylist()):
                     both = rolling.merged(np.array([x["a"] for x in found]), np.array([x["b"] for x in found])) if found else []
                     ends = [0, *(b for _, b in both)]
                     kept.append(b"".join(t[a:b] for a, b in zip(ends, [*(a for a, _ in both), len(t)])) if both else t)
@@ -207,17 +221,19 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
                     runs.append([{"a": a, "b": b} for a, b in both])
                 numbers = [[len(t) for t in texts], removed, [len(r) for r in runs]]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: width - 1], pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in numbers), pa.array(runs, kind)],
-                    names=[f.name for f in schema.fields],
+                    [part.column(0), part.column(1), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in numbers), pa.array(runs, kind)],
+                    names=["given", "text", "kept", "n_bytes", "n_removed", "n_spans", "spans"],
                 )
 
-    schema = T.StructType([*docs.schema.fields, *added])
-    return base.join(spans, base["__row"] == F.col("__of"), "left").mapInArrow(remove, schema)
+    schema = f"given {base.schema['given'].dataType.simpleString()}, text string, kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<a:long,b:long>>"
+    out = base.join(spans, same, "left").select("given", "text", "spans").mapInArrow(remove, schema)
+    own = [F.col("text").alias(c) if c == text_col else F.col("given")[c].alias(c) for c in given]
+    return out.select(*own, "kept", "n_bytes", "n_removed", "n_spans", "spans")
 
 
 def _context_batch(out: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["row", "run", "copies", "hot", "head", "context"])
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["row", "twin", "run", "copies", "hot", "head", "context"])
 
 
 def _hot_spans(runs: DataFrame, window: int) -> DataFrame:
@@ -231,12 +247,9 @@ def _hot_spans(runs: DataFrame, window: int) -> DataFrame:
                     n = int(high[k] - low[k]) + 1
                     start = np.arange(n)
                     marks = rolling.Stretches(rolling.IMAGE[np.frombuffer(ctx, np.uint8)]).hash(start, start + window)
-                    same = [np.full(n, part.column(c)[k].as_py()) for c in ("row", "copies")]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(same[0]), pa.array(low[k] + start), pa.array(same[1]), pa.array(marks.view(np.int64))],
-                        names=["row", "a", "copies", "hash"],
-                    )
+                    same = [pa.repeat(part.column(c)[k], n) for c in ("row", "twin", "copies")]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(low[k] + start), pa.array(marks.view(np.int64))], names=["row", "twin", "copies", "a", "hash"])
 
-    each = cut(runs.mapInArrow(windows, "row long, a long, copies long, hash long").distinct())
-    twice = each.groupBy("hash").agg(F.sum("copies").alias("n")).filter("n > 1").select("hash")
-    return each.filter("copies = 1").join(twice, "hash", "left_semi").select("row", "a", (F.col("a") + window).alias("b"))
+    each = cut(runs.mapInArrow(windows, "row long, twin int, copies long, a long, hash long").distinct())
+    twice = cut(each.groupBy("hash").agg(F.sum("copies").alias("n")).filter("n > 1").select("hash"))
+    return each.filter("copies = 1").join(twice, "hash", "left_semi").select("row", "twin", "a", (F.col("a") + window).alias("b"))

@@ -79,3 +79,21 @@ def test_odd_rows(spark):
     out = suffix_dedup.remove_repeats(table, window=40, gram=8)
     assert got(out) == [(-1, 5, 0, 0, b"short"), (1, 5, 0, 0, b"other"), (1, len(long), len(long), 1, b""), (1, len(long), len(long), 1, b"")]
     assert suffix_dedup.remove_repeats(table.limit(0)).count() == 0
+
+
+def test_multikey_quicksort_finds_equal_suffixes(monkeypatch):
+    rng = np.random.default_rng(4)
+    data = np.frombuffer(bytes(rng.choice(list(b"ab"), 900)) + b"abcd" * 100 + bytes(60), np.uint8)
+    at = rng.permutation(len(data) - 60)
+    for depth in (8, 13, 24, 40):
+        seen = Counter(bytes(data[a : a + depth]) for a in at)
+        expected = [seen[bytes(data[a : a + depth])] > 1 for a in at]
+        for short in (40, 4096):
+            monkeypatch.setattr(suffix_dedup, "SHORT", short)
+            assert suffix_dedup.multikey_groups(suffix_dedup._eight_bytes(data), at, depth).tolist() == expected
+
+
+def test_clashing_columns_pass_through(spark):
+    names = ["__row", "__of", "row", "twin", "given", "mark", "__twin"]
+    table = spark.createDataFrame([(1, "some text", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    assert tuple(suffix_dedup.remove_repeats(table).drop("kept", "spans").first()) == (1, "some text", *names, 9, 0, 0)
