@@ -5,28 +5,15 @@ from quarry.llm.queries import op2_suffix_trees
 from tests.conftest import SF
 
 
-def brute(docs, min_words=50):
-    """id -> (words, removed, spans) by looking at every run of chunks of every document in order."""
-    depth, seen, out = suffix_trees.DEPTH, {}, {}
-    chunks = {}
-    for d, t in docs:
-        hashes = rolling.word_hashes(rolling.split_words([t]))[0]
-        ends = suffix_trees.chunk_ends(hashes).tolist()
+def word_brute(docs, min_words=50):
+    """id -> (words, removed, spans) by every window of words, without anything of the operator's."""
+    seen, out = {}, {}
+    for d, t in sorted(docs):
         words = (t or "").encode().split()
-        chunks[d] = (words, ends, [tuple(words[a:b]) for a, b in zip([0, *ends[:-1]], ends)])
-    for d in sorted(chunks):
-        words, ends, tokens = chunks[d]
-        for i in range(len(tokens)):
-            for p in range(1, depth + 1):
-                if i + p <= len(tokens):
-                    seen.setdefault(tuple(tokens[i : i + p]), (d, i))
-    for d, (words, ends, tokens) in chunks.items():
         gone = np.zeros(len(words) + 2, int)
-        for i in range(len(tokens)):
-            for p in range(1, depth + 1):
-                begin = ends[i - 1] if i else 0
-                if i + p <= len(tokens) and seen[tuple(tokens[i : i + p])] < (d, i) and ends[i + p - 1] - begin >= min_words:
-                    gone[begin + 1 : ends[i + p - 1] + 1] = 1
+        for i in range(len(words) - min_words + 1):
+            if seen.setdefault(tuple(words[i : i + min_words]), (d, i)) != (d, i):
+                gone[i + 1 : i + min_words + 1] = 1
         out[d] = (len(words), int(gone.sum()), int((np.diff(gone) == 1).sum()))
     return out
 
@@ -35,11 +22,6 @@ def got(df):
     return {r.doc_id: (r.n_words, r.n_removed, r.n_spans) for r in df.collect()}
 
 
-def test_whole_table(spark):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    assert got(op2_suffix_trees(spark, SF)) == brute(docs)
-
-
 def test_longer_prefixes_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(4)
     text = lambda n: [f"w{x}" for x in rng.integers(0, 400, n)]
@@ -47,7 +29,7 @@ def test_longer_prefixes_give_the_same(spark, monkeypatch):
     rows = [(k, " ".join(text(30) + passage[: 150 + 20 * (k % 5)] + text(60))) for k in range(25)]
     rows += [(50, " ".join(passage)), (51, " ".join(passage)), (60, None), (61, "a b")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    expected = brute(rows)
+    expected = word_brute(rows)
     assert sum(v[1] for v in expected.values()) > 2000
     assert got(suffix_trees.remove_later(table)) == expected
     monkeypatch.setattr(suffix_trees, "GROUP_SUFFIXES", 4)
@@ -62,27 +44,6 @@ def test_odd_rows(spark):
     assert suffix_trees.remove_later(table.limit(0)).count() == 0
 
 
-def test_long_documents_are_cut_the_same(monkeypatch):
-    hashes = rolling.mix(np.random.default_rng(0).integers(0, 50, 3000).astype(np.uint64))
-    whole = suffix_trees.chunk_ends(hashes)
-    monkeypatch.setattr(rolling, "BLOCK", 200)
-    assert suffix_trees.chunk_ends(hashes).tolist() == whole.tolist()
-    assert suffix_trees._all_ends(hashes, np.array([0, 0, 3000]))[1].tolist() == whole.tolist()
-
-
-def word_brute(docs, min_words=50):
-    """id -> (words, removed, spans) by every window of words, without anything of the operator's."""
-    seen, out = {}, {}
-    for d, t in sorted(docs):
-        words = (t or "").encode().split()
-        gone = np.zeros(len(words) + 2, int)
-        for i in range(len(words) - min_words + 1):
-            if seen.setdefault(tuple(words[i : i + min_words]), (d, i)) != (d, i):
-                gone[i + 1 : i + min_words + 1] = 1
-        out[d] = (len(words), int(gone.sum()), int((np.diff(gone) == 1).sum()))
-    return out
-
-
 def test_short_passages_go_to_the_word(spark, monkeypatch):
     rng = np.random.default_rng(7)
     text = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
@@ -125,3 +86,16 @@ def test_long_documents_have_the_same_suffixes(monkeypatch):
     whole = suffixes()
     monkeypatch.setattr(rolling, "BLOCK", 200)
     assert suffixes() == whole and len(whole) == 2951
+
+
+def test_nodes_are_those_of_equal_paths():
+    rng = np.random.default_rng(5)
+    words = rolling.mix(rng.integers(0, 2, 400).astype(np.uint64))
+    start = np.concatenate([rng.permutation(380), [5]])
+    for depth in (1, 7, 20):
+        leaves, node = suffix_trees.deep_nodes(words, start, np.zeros(len(start), np.int64), depth)
+        paths = {}
+        for k, s in enumerate(start):
+            paths.setdefault(tuple(words[s : s + depth]), set()).add(k)
+        expected = {frozenset(p) for p in paths.values() if len(p) > 1}
+        assert {frozenset(leaves[node == n].tolist()) for n in set(node.tolist())} == expected
