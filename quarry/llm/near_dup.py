@@ -156,7 +156,8 @@ def near_duplicates(
         )
     )
     banded = classes.select("node", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    # both sides of a join come from a shuffle or a checkpoint, so that adaptive execution can split frequent keys
+    hubs = cut(banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"))
     met = connected_components(banded.join(hubs, "band").select("hub", "node").distinct(), "hub", "node")
 
     members = classes.join(met, "node").select("node", "rep", "size", "count", F.col("component").alias("comp"))
@@ -200,10 +201,10 @@ def near_duplicates(
     degrees = verified.groupBy("node").agg(F.sum("classes").alias("classes"), F.sum("documents").alias("documents"))
     groups = connected_components(verified, "node", "root").join(classes.select("node", "rep"), "node")
     least = groups.groupBy("component").agg(F.min("rep").alias("least"))
-    placed = classes.select("node", "rep", "count").join(
+    placed = classes.select("node", "check", "rep", "count").join(
         groups.select("node", "component").join(least, "component").drop("component"), "node", "left"
     ).join(degrees, "node", "left")
-    return signed.select("id", "node").join(placed, "node").select(
+    return signed.select("id", "node", "check").join(cut(placed), ["node", "check"]).select(
         F.col("id").alias(id_col),
         F.coalesce("least", "rep").alias("class_id"),
         (F.coalesce("documents", F.lit(0)) + F.col("count") - 1).alias("n_links"),
@@ -213,7 +214,16 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents whose id names their class, columns as given. Rows equal in id and text stay together."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    keep = found.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("__keep")), "left_semi")
+    """One document of each class, columns as given: that of the least id, then of the least hash of its text.
+
+    Null ids come last. Rows that repeat an id are told apart by their text; of rows equal in both one stays.
+    """
+    given = docs.columns
+    key = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("hash")).alias("__key")
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("__given"), key, F.col(text_col).alias("__text"))
+    found = near_duplicates(docs.select("__key", "__text"), "__key", "__text", **options)
+    keep = cut(found.filter("__key = class_id").groupBy(F.col("__key").alias("__keep")).agg(F.count(F.lit(1)).alias("__rows")))
+    kept = docs.join(keep, F.col("__key") == F.col("__keep"))
+    if keep.filter("__rows > 1").limit(1).count():
+        kept = kept.filter("__rows = 1").unionByName(kept.filter("__rows > 1").dropDuplicates(["__key"]))
+    return kept.select(*[F.col("__given")[c].alias(c) for c in given])

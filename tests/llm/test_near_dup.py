@@ -61,6 +61,10 @@ def test_odd_rows(spark):
     found = near_dup.near_duplicates(table).collect()
     assert sorted((r.doc_id or 0, r.class_id, r.n_links) for r in found) == [(0, 1, 1), (1, 1, 0), (1, 1, 1), (2, 2, 0)]
     assert near_dup.keep_one(table).columns == table.columns
+    same = " ".join(f"w{k}" for k in range(30))
+    twins = [(2, same, "a"), (5, same, "b"), (5, "quite another text of some seven words", "c"), (None, same, "d"), (7, "one of two rows", "e"), (7, "one of two rows", "e")]
+    kept = near_dup.keep_one(spark.createDataFrame(twins, "doc_id long, text string, __key string"))
+    assert sorted(tuple(r) for r in kept.collect()) == [twins[0], twins[2], twins[4]]
     assert near_dup.near_duplicates(table.limit(0)).count() == 0
 
 
