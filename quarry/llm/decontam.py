@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import cut
+
 #: Bytes of item text whose automaton one pass holds; measured before anything is broadcast.
 BLOCK_BYTES = 1 << 20
 
@@ -241,7 +243,10 @@ def contaminated(
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents in which no item was found, columns as given. Every row of an id that a match names goes."""
-    hits = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("__hit")).distinct()
-    return docs.join(hits, docs[id_col].eqNullSafe(F.col("__hit")), "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents in which no item was found, columns as given. Rows that repeat an id are told apart by their text."""
+    own = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.concat_ws("|", F.xxhash64(id_col).cast("string"), F.md5(own.cast("binary")))
+    slim = docs.select(key.alias("__key"), F.col(text_col).alias("__text"))
+    hits = contaminated(slim, benchmark, id_col="__key", text_col="__text", **options).select(F.col("__key").alias("__hit")).distinct()
+    return docs.join(cut(hits), key == F.col("__hit"), "left_anti")

@@ -153,6 +153,8 @@ def test_decontamination_finds_edited_passages(spark):
         assert plain_distance(dict(items)[r.item_id], stretch)[0] == r.distance
     clean = decontam.keep_clean(table, bench)
     assert clean.count() == len(docs) - len(expected) and clean.columns == table.columns
+    twins = spark.createDataFrame([(None, "clean"), (None, docs[2][1]), (3, "clean"), (3, docs[2][1])], "doc_id long, text string")
+    assert [r.text for r in decontam.keep_clean(twins, bench).collect()] == ["clean"] * 2
     assert decontam.contaminated(table, bench.limit(0)).count() == 0 and decontam.contaminated(table.limit(0), bench).count() == 0
 
 
