@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             break
         before = state
         both = e.select(F.col("u").alias("a"), F.col("v").alias("b")).union(e.select("v", "u"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # materialised, so that adaptive execution can split the rows of a node with very many neighbours
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").filter("b > a").select(*_ordered("b", "m")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(*_ordered("v", "m")).union(low.select("u", F.col("m").alias("v")))

@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share, as the session names it.
 
-    ``spark.checkpoint.dir`` wins. Only a session without it (local tests) gets a temporary folder.
+    ``spark.checkpoint.dir`` wins. Only a local session without it (one machine, one JVM) gets a temporary folder; on a
+    cluster that would be a folder of the driver's own, so a session without a setting is an error there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(named)
     elif not spark.sparkContext.getCheckpointDir():
