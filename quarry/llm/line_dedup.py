@@ -42,7 +42,9 @@ def dedup_lines(
     """
     docs = docs.drop("n_lines", "n_dropped")
     given = docs.columns
-    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in given if c != text_col]).alias("__given"), F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
+    # columns of the input may have any name, so they are numbered while the operator's own stand beside them
+    numbered = {c: f"__given{k}" for k, c in enumerate(given) if c != text_col}
+    docs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in numbered.items()], F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
     lines = F.split("__t", "\n", -1)
     base = docs.select("__id", "__t")
 
@@ -81,7 +83,7 @@ def dedup_lines(
         F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     )
     return out.select(
-        *[rebuilt.alias(c) if c == text_col else F.col("__given")[c].alias(c) for c in given],
+        *[rebuilt.alias(c) if c == text_col else F.col(numbered[c]).alias(c) for c in given],
         n.cast("long").alias("n_lines"),
         F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )
