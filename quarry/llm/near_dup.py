@@ -220,10 +220,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     given = docs.columns
     key = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("hash")).alias("__key")
-    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("__given"), key, F.col(text_col).alias("__text"))
+    # columns of the input may have any name, so they are numbered while the operator's own stand beside them
+    docs = docs.select(*[F.col(f"`{c}`").alias(f"__given{k}") for k, c in enumerate(given)], key, F.col(text_col).alias("__text"))
     found = near_duplicates(docs.select("__key", "__text"), "__key", "__text", **options)
     keep = cut(found.filter("__key = class_id").groupBy(F.col("__key").alias("__keep")).agg(F.count(F.lit(1)).alias("__rows")))
     kept = docs.join(keep, F.col("__key") == F.col("__keep"))
     if keep.filter("__rows > 1").limit(1).count():
         kept = kept.filter("__rows = 1").unionByName(kept.filter("__rows > 1").dropDuplicates(["__key"]))
-    return kept.select(*[F.col("__given")[c].alias(c) for c in given])
+    return kept.select(*[F.col(f"__given{k}").alias(c) for k, c in enumerate(given)])
