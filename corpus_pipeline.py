@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import decontam, line_dedup, near_dup, packing, quality_rules
 from quarry.llm.queries import tokenizer_path
-from quarry.runtime import cut, scratch_path, table
+from quarry.runtime import cut, drop_path, scratch_path, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -52,10 +52,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each one's result is written to the shared folder and read again.
+
+    What a stage wrote goes when the next one has written; the last one keeps its pieces in a checkpoint.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"stage-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            drop_path(spark, before)
+        before = path
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    drop_path(spark, before)
+    return packed
