@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import cut, scratch_path, table
+from ..runtime import cut, drop_path, scratch_path, table
 from . import decontam, license_scan, line_dedup, near_dup, packing, quality_rules, sharding, suffix_dedup, suffix_trees, warc
 
 
@@ -29,7 +29,9 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_captures(table(spark, sf_dir, "pages"), path, least_revisit_bytes=0)
     page = F.get("metadata", F.lit(0))["fields"]
-    captures = warc.assemble(cut(warc.read_records(spark, path).drop("payload"))).select(
+    records = cut(warc.read_records(spark, path).drop("payload"))
+    drop_path(spark, path)
+    captures = warc.assemble(records).select(
         "capture_id", "type", "refers_to", "response",
         F.get(F.filter(page, lambda x: x["key"] == "page-id"), F.lit(0))["value"].try_cast("long").alias("metadata"),
     )
