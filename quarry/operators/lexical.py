@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..runtime import cut
 
 # The ranking libraries' defaults and the field weights.
 OKAPI_K1, OKAPI_B, OKAPI_EPSILON = 1.5, 0.75, 0.25
@@ -40,41 +41,72 @@ def idf_table(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return distinct.crossJoin(F.broadcast(n)).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def okapi(docs: DataFrame, id_col: str, tokens: Column, query: list[str], group: list[str] | None = None) -> DataFrame:
-    """group columns, doc, score of every document by BM25 with the mean-idf floor for terms in over half of them.
+def okapi(docs: DataFrame, id_col: str, tokens: Column, query: list[str]) -> DataFrame:
+    """doc, score of every document by BM25 with the mean-idf floor for terms in over half of them.
 
-    A repeated query term counts repeatedly. With ``group``, statistics and scores are per group (a document's
-    sentences, say). Term frequencies of the query come from the row's own array, so only statistics shuffle.
+    A repeated query term counts repeatedly. Texts are tokenised twice: once into slim rows of the query's own term
+    frequencies, which are kept, and once for the document frequencies of all terms, which the floor is the mean of.
     """
-    keys = group or []
-    base = docs.select(*keys, F.col(id_col).alias("doc"), tokens.alias("__tokens")).withColumn("__len", F.size("__tokens"))
-    size = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.avg("__len").alias("__avg"))
-    df = base.select(*keys, F.explode(F.array_distinct("__tokens")).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = _joined(df, size, keys).withColumn("raw", F.log((F.col("__n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    floor = weighed.groupBy(*keys).agg((F.avg("raw") * OKAPI_EPSILON).alias("floor"))
-    wanted = _joined(weighed.filter(F.col("term").isin(query)), floor, keys).select(
-        *keys, F.struct("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf")).alias("entry")
-    )
-    table = wanted.groupBy(*keys).agg(F.map_from_entries(F.collect_list("entry")).alias("__idf"))
-    scored = _joined(_joined(base, size, keys), table, keys, "left")
-    part = F.lit(0.0)
-    norm = OKAPI_K1 * (1 - OKAPI_B + OKAPI_B * F.col("__len") / F.col("__avg"))
-    for term in query:
-        tf = _count("__tokens", term)
-        weight = F.coalesce(F.col("__idf")[term], F.lit(0.0))
-        part = part + weight * tf * (OKAPI_K1 + 1) / (tf + norm)
-    return scored.select(*keys, "doc", part.alias("score"))
-
-
-def _count(tokens: str, term: str) -> Column:
+    terms = list(dict.fromkeys(query))
+    base = docs.select(F.col(id_col).alias("doc"), tokens.alias("__tokens"))
+    slim = cut(base.select("doc", F.size("__tokens").alias("__len"), *[_count("__tokens", t).alias(f"__tf{k}") for k, t in enumerate(terms)]))
+    size = F.broadcast(slim.agg(F.count(F.lit(1)).alias("__n"), F.avg("__len").alias("__avg")))
+    df = base.select(F.explode(F.array_distinct("__tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = df.join(size, F.lit(True)).select("term", F.log((F.col("__n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+    # one row, as is the size
+    weights = raw.agg((F.avg("raw") * OKAPI_EPSILON).alias("__floor"), *[F.max(F.when(F.col("term") == t, F.col("raw"))).alias(f"__raw{k}") for k, t in enumerate(terms)])
+    scored = slim.join(size, F.lit(True)).join(F.broadcast(weights), F.lit(True))
+    part, norm = F.lit(0.0), OKAPI_K1 * (1 - OKAPI_B + OKAPI_B * F.col("__len") / F.col("__avg"))
+    for k, term in enumerate(terms):
+        weight = F.when(F.col(f"__raw{k}") < 0, F.col("__floor")).otherwise(F.coalesce(f"__raw{k}", F.lit(0.0)))
+        part = part + query.count(term) * weight * F.col(f"__tf{k}") * (OKAPI_K1 + 1) / (F.col(f"__tf{k}") + norm)
+    return scored.select("doc", part.alias("score"))
+
+
+def okapi_within(docs: DataFrame, tokens: str, query: list[str]) -> DataFrame:
+    """The rows with ``scores``: BM25 of each token array in the row's array of them, by the statistics of that row alone.
+
+    Nothing shuffles: a row's terms are sorted, and one pass over them gives the mean idf.
+    """
+    n, terms = F.nullif(F.size(tokens), F.lit(0)), list(dict.fromkeys(query))
+    idf = lambda df: F.log((n - df + 0.5) / (df + 0.5))
+    distinct = F.array_sort(F.flatten(F.transform(tokens, F.array_distinct)))
+    start = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("df"), F.lit(0).alias("terms"), F.lit(0.0).alias("sum"))
+
+    def step(state: Column, term: Column) -> Column:
+        more = F.struct(term.alias("term"), (state["df"] + 1).alias("df"), state["terms"].alias("terms"), state["sum"].alias("sum"))
+        new = F.struct(
+            term.alias("term"), F.lit(1).alias("df"), (state["terms"] + 1).alias("terms"),
+            (state["sum"] + F.when(state["df"] > 0, idf(state["df"])).otherwise(0.0)).alias("sum"),
+        )
+        return F.when(state["term"] == term, more).otherwise(new)
+
+    done = lambda s: F.when(s["terms"] > 0, (s["sum"] + idf(s["df"])) / s["terms"])
+    df = [F.size(F.filter(tokens, _holding(t))) for t in terms]
+    weighed = docs.withColumns({
+        "__avg": F.aggregate(tokens, F.lit(0), lambda a, x: a + F.size(x)) / n,
+        "__floor": F.aggregate(distinct, start, step, done) * OKAPI_EPSILON,
+        "__df": F.array(*df),
+    })
+    raw = [idf(F.col("__df")[k]) for k in range(len(terms))]
+    weighed = weighed.withColumn("__idf", F.array(*[F.when(F.col("__df")[k] == 0, 0.0).when(r < 0, F.col("__floor")).otherwise(r) for k, r in enumerate(raw)]))
+
+    def score(own: Column) -> Column:
+        part, norm = F.lit(0.0), OKAPI_K1 * (1 - OKAPI_B + OKAPI_B * F.size(own) / F.col("__avg"))
+        for k, term in enumerate(terms):
+            tf = _count(own, term)
+            part = part + query.count(term) * F.col("__idf")[k] * tf * (OKAPI_K1 + 1) / (tf + norm)
+        return part
+
+    return weighed.withColumn("scores", F.transform(tokens, score)).drop("__avg", "__floor", "__df", "__idf")
+
+
+def _count(tokens: Column | str, term: str) -> Column:
     return F.size(F.filter(tokens, lambda t: t == term))
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    if keys:
-        return left.join(right, keys, how)
-    # without keys the right side is one row
-    return left.join(F.broadcast(right), F.lit(True), how)
+def _holding(term: str):
+    return lambda tokens: F.array_contains(tokens, term)
 
 
 def weighted(docs: DataFrame, id_col: str, fields: dict[str, Column], query: list[str], weights: dict[str, float]) -> DataFrame:
@@ -183,38 +215,42 @@ def sentence_rows(docs: DataFrame, id_col: str, found: Column) -> DataFrame:
 def central_sentences(docs: DataFrame, id_col: str, text: Column, stop_words: list[str]) -> DataFrame:
     """doc, pos, sentence: the one with the largest sum of TF-IDF similarities to the document's others.
 
-    The row sums of X X' are each sentence's weights times the column sums, so no pair of sentences is formed.
+    The row sums of X X' are each sentence's weights times the column sums, so no pair of sentences is formed. Terms are
+    dealt by document once, and all sums are taken in that dealing.
     """
-    rows = sentence_rows(docs, id_col, X.sentences(text))
+    rows = docs.select(F.col(id_col).alias("doc"), X.sentences(text).alias("sentences"))
     terms = F.filter(X.letter_or_digit_tokens(F.col("sentence")), lambda t: (F.length(t) > 1) & ~t.isin(stop_words))
-    posted = rows.select("doc", "pos", F.explode(terms).alias("term")).groupBy("doc", "pos", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counts = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
-    df = posted.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("df"))
-    raw = posted.join(df, ["doc", "term"]).join(counts, "doc")
-    raw = raw.withColumn("w", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1))
-    norm = raw.groupBy("doc", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = raw.join(norm, ["doc", "pos"]).select("doc", "pos", "term", (F.col("w") / F.col("norm")).alias("u"))
-    column = unit.groupBy("doc", "term").agg(F.sum("u").alias("all"))
-    central = unit.join(column, ["doc", "term"]).groupBy("doc", "pos").agg(F.sum(F.col("u") * F.col("all")).alias("centrality"))
-    scored = rows.join(central, ["doc", "pos"], "left").withColumn("centrality", F.round(F.coalesce("centrality", F.lit(0.0)), 9))
-    return top(scored, ["doc"], [F.col("centrality").desc(), F.col("pos")], 1).select("doc", "pos", "sentence")
+    each = rows.select("doc", F.size("sentences").alias("n"), F.posexplode("sentences").alias("pos", "sentence"))
+    posted = each.select("doc", "n", "pos", F.explode(terms).alias("term")).repartition("doc").groupBy("doc", "n", "pos", "term").agg(F.count(F.lit(1)).alias("tf"))
+    by_term, by_sentence = Window.partitionBy("doc", "term"), Window.partitionBy("doc", "pos")
+    weighed = posted.withColumn("w", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.count(F.lit(1)).over(by_term))) + 1))
+    unit = weighed.withColumn("u", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_sentence)))
+    central = unit.withColumn("all", F.sum("u").over(by_term)).groupBy("doc", "pos").agg(F.round(F.sum(F.col("u") * F.col("all")), 9).alias("centrality"))
+    best = central.groupBy("doc").agg(F.max(F.struct("centrality", -F.col("pos"))).alias("best")).select("doc", (-F.col("best.col2")).alias("pos"))
+    # a document whose sentences hold no term has its first one
+    placed = rows.join(best, "doc", "left").withColumn("pos", F.coalesce("pos", F.lit(0)))
+    return placed.select("doc", "pos", F.get("sentences", F.col("pos")).alias("sentence")).filter("sentence is not null")
+
+
+def _ranked(rows: DataFrame, held: str, k: int) -> DataFrame:
+    """The rows with ``order``: struct(minus rounded score, pos, rank) of each array element, best first, all in order if few."""
+    n = F.size(held)
+    scored = F.transform("scores", lambda s, i: F.struct(F.when(n > k, -F.round(s, 9)).otherwise(0.0).alias("by"), i.alias("pos")))
+    return rows.withColumn("order", F.transform(F.array_sort(scored), lambda x, i: F.struct(x["pos"].alias("pos"), (i + 1).alias("rank"))))
 
 
 def salient(docs: DataFrame, id_col: str, text: Column, terms: list[str], k: int = 12) -> DataFrame:
     """doc, pos, sentence, rank: a document's quotable sentences, all in order if few, else the best by BM25."""
-    rows = sentence_rows(docs, id_col, X.quotable(text))
-    scored = okapi(rows.withColumnRenamed("doc", "of"), "pos", X.search_tokens(F.col("sentence")), terms, ["of"])
-    scored = scored.select(F.col("of").alias("doc"), F.col("doc").alias("pos"), "score").join(rows, ["doc", "pos"])
-    counted = scored.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc")))
-    order = [F.when(F.col("n") > k, F.round("score", 9)).desc_nulls_last(), F.col("pos")]
-    return top(counted, ["doc"], order, k).select("doc", "pos", "sentence", "rank")
+    rows = docs.select(F.col(id_col).alias("doc"), X.quotable(text).alias("held"))
+    rows = okapi_within(rows.withColumn("tokens", F.transform("held", X.search_tokens)), "tokens", terms)
+    best = _ranked(rows, "held", k).select("doc", "held", F.explode(F.slice("order", 1, k)).alias("x"))
+    return best.select("doc", "x.pos", F.get("held", F.col("x.pos")).alias("sentence"), "x.rank")
 
 
 def select_passages(docs: DataFrame, id_col: str, passages: Column, terms: list[str], k: int = 12) -> DataFrame:
     """doc, pos, passage: all if few, else the best k by BM25 and every section opener, in document order (X11)."""
-    rows = docs.select(F.col(id_col).alias("of"), F.posexplode(passages).alias("pos", "passage"))
-    scored = okapi(rows, "pos", X.search_tokens(F.col("passage")), terms, ["of"]).withColumnRenamed("doc", "pos")
-    placed = rows.join(scored, ["of", "pos"])
-    rank = F.row_number().over(Window.partitionBy("of").orderBy(F.round("score", 9).desc(), "pos"))
-    kept = placed.withColumn("rank", rank).filter((F.col("rank") <= k) | F.col("passage").rlike(X.KEPT_SECTION))
-    return kept.select(F.col("of").alias("doc"), "pos", "passage")
+    rows = docs.select(F.col(id_col).alias("doc"), passages.alias("held"))
+    rows = okapi_within(rows.withColumn("tokens", F.transform("held", X.search_tokens)), "tokens", terms)
+    each = _ranked(rows, "held", k).select("doc", "held", F.explode("order").alias("x"))
+    placed = each.select("doc", "x.pos", F.get("held", F.col("x.pos")).alias("passage"), "x.rank")
+    return placed.filter((F.col("rank") <= k) | F.col("passage").rlike(X.KEPT_SECTION)).drop("rank")
