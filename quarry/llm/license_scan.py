@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import cut
+from ..runtime import step
 from . import rolling
 
 #: Candidates of a bucket, and distinct contexts of one fingerprint beyond which windows are compared across all tasks.
@@ -124,16 +124,16 @@ def remove_copied(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"), others.alias("given"))
     found = fingerprints(base.filter("doc is not null").select("row", "doc", "text"), window, gram)
     # both sides of a join come from a shuffle or a checkpoint, so that adaptive execution can split frequent marks
-    shared = cut(found.groupBy("mark").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("mark", "least"))
-    met = cut(found.join(shared, "mark"))
-    classes = cut(met.groupBy("mark", "context").agg(F.min("doc").alias("first"), F.first("least").alias("least")))
+    shared = step(found.groupBy("mark").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("mark", "least"))
+    met = step(found.join(shared, "mark"))
+    classes = step(met.groupBy("mark", "context").agg(F.min("doc").alias("first"), F.first("least").alias("least")))
     low, high = F.shiftright("run", 24), F.shiftright("run", 24) + F.col("run").bitwiseAND(4095)
     placed = met.drop("least").join(classes, ["mark", "context"])
     settled = placed.filter("doc > first").select("row", "doc", low.alias("a"), (high + window).alias("b")).distinct()
 
     part = classes.groupBy("mark").agg(F.count(F.lit(1)).alias("contexts"), F.max("first").alias("last"), F.min("least").alias("least0")).filter("last > least0")
-    part = cut(part.select("mark", (F.col("contexts") > HOT_CONTEXTS).alias("hot")))
-    open_runs = cut(placed.filter("doc = first").join(part, "mark").select("row", "doc", "mark", "run", "hot").distinct())
+    part = step(part.select("mark", (F.col("contexts") > HOT_CONTEXTS).alias("hot")))
+    open_runs = step(placed.filter("doc = first").join(part, "mark").select("row", "doc", "mark", "run", "hot").distinct())
     cells = open_runs.groupBy(F.col("row").alias("__row"), F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("mark", "run", "hot")).alias("runs"))
     same = (F.col("row") == F.col("__row")) & (F.col("doc") == F.col("__doc"))
 
@@ -186,8 +186,8 @@ def remove_copied(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cool = cut_out.filter("not hot").repartition(buckets, "mark").select("row", "doc", "low", "anchor", "words")
     spans = settled.unionByName(cool.mapInArrow(align, spans_of))
     if open_runs.filter("hot").limit(1).count():
-        each = cut(cut_out.filter("hot").select("row", "doc", "low", "words").mapInArrow(windows, f"row long, doc {kind}, a long, hash long"))
-        least = cut(each.groupBy("hash").agg(F.min("doc").alias("least")))
+        each = step(cut_out.filter("hot").select("row", "doc", "low", "words").mapInArrow(windows, f"row long, doc {kind}, a long, hash long"))
+        least = step(each.groupBy("hash").agg(F.min("doc").alias("least")))
         hot = each.join(least, "hash").filter("doc > least").select("row", "doc", "a", (F.col("a") + window).alias("b"))
         spans = spans.unionByName(hot.distinct())
     spans = spans.groupBy(F.col("row").alias("__row"), F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import step
 from . import rolling
 
 #: Runs of a bucket, and distinct contexts of one anchor beyond which windows are compared by hash instead.
-BUCKET_RUNS, HOT_CONTEXTS = 20_000, 50_000
+BUCKET_RUNS, HOT_CONTEXTS = 10_000, 50_000
 #: Suffixes of a segment that isn't split further but sorted.
 SHORT = 4096
 
@@ -57,8 +57,8 @@ def runs_of(base: DataFrame, window: int, gram: int) -> DataFrame:
     return base.mapInArrow(find, "row long, twin int, mark long, context long, run long")
 
 
-def multikey_groups(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """For each suffix, whether another one has the same first ``depth`` bytes.
+def multikey_groups(words: np.ndarray, at: np.ndarray, depth: int, group: np.ndarray | None = None) -> np.ndarray:
+    """For each suffix, whether another one (of its group, if there are groups) has the same first ``depth`` bytes.
 
     ``words`` has the eight bytes from every position as a big-endian number, a symbol here; the last one overlaps the
     one before if the depth isn't a multiple of eight. Multikey quicksort: a segment is split three ways around a pivot,
@@ -66,8 +66,14 @@ def multikey_groups(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray
     """
     out = np.zeros(len(at), bool)
     steps = [*range(0, depth - 7, 8)] + [depth - 8] * bool(depth % 8)
-    short: list[tuple[np.ndarray, int]] = []
-    stack = [(np.arange(len(at)), 0)]
+    group = np.zeros(len(at), np.int64) if group is None else group
+    order = np.argsort(group, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1], [True]])) if len(at) else np.zeros(1, np.int64)
+    size = np.diff(edges)
+    rest = np.repeat((size > 1) & (size <= SHORT), size)
+    short = [(order[rest], group[order[rest]], 0)]
+    stack = [(order[edges[k] : edges[k + 1]], 0) for k in np.flatnonzero(size > SHORT).tolist()]
+    last = int(group.max(initial=0))
     while stack:
         held, level = stack.pop()
         if level == len(steps):
@@ -78,26 +84,28 @@ def multikey_groups(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray
             pivot = np.partition(sample, len(sample) // 2)[len(sample) // 2]
             stack += [(held[key < pivot], level), (held[key == pivot], level + 1), (held[key > pivot], level)]
         elif len(held) > 1:
-            short.append((held, level))
-    if short:
-        _finish(words, at, steps, short, out)
+            last += 1
+            short.append((held, np.full(len(held), last), level))
+    alive, group = (np.concatenate([x[k] for x in short]) for k in (0, 1))
+    _finish(words, at, np.array(steps), alive, group, np.repeat([x[2] for x in short], [len(x[0]) for x in short]), out)
     return out
 
 
-def _finish(words: np.ndarray, at: np.ndarray, steps: list[int], short: list[tuple[np.ndarray, int]], out: np.ndarray) -> None:
-    """Sort all short segments by a symbol at a time; what has an equal neighbour goes on to its next symbol."""
-    alive = np.concatenate([held for held, _ in short])
-    group = np.repeat(np.arange(len(short)), [len(held) for held, _ in short])
-    level = np.repeat([level for _, level in short], [len(held) for held, _ in short])
-    offset = np.array(steps)
+def _finish(words: np.ndarray, at: np.ndarray, steps: np.ndarray, alive: np.ndarray, group: np.ndarray, level: np.ndarray, out: np.ndarray) -> None:
+    """Short segments, one after another, sorted a symbol at a time; only those with different symbols need it."""
     while len(alive):
-        key = words[at[alive] + offset[level]]
-        order = np.lexsort((key, group))
-        alive, group, level, key = alive[order], group[order], level[order], key[order]
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
+        key = words[at[alive] + steps[level]]
+        new = np.ones(len(alive), bool)
+        new[1:] = group[1:] != group[:-1]
         group = np.cumsum(new)
-        on = ~(new & np.concatenate([new[1:], [True]]))
-        alive, group, level = alive[on], group[on], level[on] + 1
+        odd = np.zeros(group[-1] + 1, bool)
+        odd[group[1:][~new[1:] & (key[1:] != key[:-1])]] = True
+        mixed = np.flatnonzero(odd[group])
+        order = mixed[np.lexsort((key[mixed], group[mixed]))]
+        alive[mixed], level[mixed], key[mixed] = alive[order], level[order], key[order]
+        new[1:] |= key[1:] != key[:-1]
+        on = ~(new & np.append(new[1:], True))
+        alive, group, level = alive[on], np.cumsum(new)[on], level[on] + 1
         done = level == len(steps)
         out[alive[done]] = True
         alive, group, level = alive[~done], group[~done], level[~done]
@@ -105,22 +113,28 @@ def _finish(words: np.ndarray, at: np.ndarray, steps: list[int], short: list[tup
 
 def _eight_bytes(joined: np.ndarray) -> np.ndarray:
     """The big-endian number in the eight bytes from each position."""
-    wide = np.concatenate([joined, np.zeros(8, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(joined), np.uint64)
+    wide, out = np.concatenate([joined, np.zeros(8, np.uint8)]), np.zeros(len(joined), np.uint64)
     for k in range(8):
-        out = (out << np.uint64(8)) | wide[k : k + len(joined)]
+        out <<= np.uint64(8)
+        out |= wide[k : k + len(joined)]
     return out
 
 
-def _bucket(runs: np.ndarray, copies: np.ndarray, contexts: list[bytes], window: int):
-    """(index of the run, first byte, end) of what repeats in a bucket's runs that have no copy."""
-    low, _, high = rolling.unpack_run(runs)
+def _bucket(runs: np.ndarray, copies: np.ndarray, contexts: list[bytes], window: int, gram: int):
+    """(index of the run, first byte, end) of what repeats in a bucket's runs that have no copy.
+
+    Equal windows lie alike around equal anchors, so that an anchor's windows at one distance are sorted by themselves.
+    """
+    low, anchor, high = rolling.unpack_run(runs)
     starts = np.concatenate([[0], np.cumsum([len(c) for c in contexts])[:-1]]).astype(np.int64)
     count = high - low + 1
     of = np.repeat(np.arange(len(runs)), count)
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     words = _eight_bytes(np.frombuffer(b"".join(contexts) + b"\0" * 8, np.uint8))
-    twice = multikey_groups(words, starts[of] + step, window)
+    head = [words[starts + anchor - low + k] for k in range(0, gram, 8)]
+    head[-1] = head[-1] >> np.uint64(-gram % 8 * 8)
+    mark = np.unique(np.stack(head, axis=1), axis=0, return_inverse=True)[1].ravel()
+    twice = multikey_groups(words, starts[of] + step, window, mark[of] * window + (anchor - low)[of] - step)
     told = twice & (copies[of] == 1)
     return _joined(of[told], low[of[told]] + step[told], window)
 
@@ -155,16 +169,16 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     base = docs.select(*key, F.col(text_col).alias("text"), others.alias("given"))
     found = runs_of(base.select("row", "twin", "text"), window, gram)
     # both sides of a join come from a shuffle or a checkpoint, so that adaptive execution can split frequent anchors
-    shared = cut(found.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark"))
-    met = cut(found.join(shared, "mark"))
+    shared = step(found.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark"))
+    met = step(found.join(shared, "mark"))
     classes = met.groupBy("mark", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "twin", "run")).alias("one"))
-    classes = cut(classes.select("mark", "context", "copies", "one.row", "one.twin", "one.run"))
+    classes = step(classes.select("mark", "context", "copies", "one.row", "one.twin", "one.run"))
     whole = met.join(classes.filter("copies > 1").select("mark", "context"), ["mark", "context"], "left_semi")
     low, high = F.shiftright("run", 24), F.shiftright("run", 24) + F.col("run").bitwiseAND(4095)
     settled = whole.select("row", "twin", low.alias("a"), (high + window).alias("b")).distinct()
 
     part = classes.groupBy("mark").agg(F.count(F.lit(1)).alias("contexts"), F.min("copies").alias("least")).filter("contexts > 1 and least = 1")
-    part = cut(part.select("mark", (F.col("contexts") > HOT_CONTEXTS).alias("hot")))
+    part = step(part.select("mark", (F.col("contexts") > HOT_CONTEXTS).alias("hot")))
     open_runs = classes.join(part, "mark")
     cells = open_runs.groupBy(F.col("row").alias("__row"), F.col("twin").alias("__twin")).agg(F.collect_list(F.struct("run", "copies", "hot")).alias("runs"))
     same = (F.col("row") == F.col("__row")) & (F.col("twin") == F.col("__twin"))
@@ -196,7 +210,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             # a row that stands twice in the table gives its contexts twice
             keep = np.unique(np.stack([col("row"), col("twin"), col("run")]), axis=1, return_index=True)[1]
             texts = whole.column("context").to_pylist()
-            of, a, b = _bucket(col("run")[keep], col("copies")[keep], [texts[k] for k in keep], window)
+            of, a, b = _bucket(col("run")[keep], col("copies")[keep], [texts[k] for k in keep], window, gram)
             own = pa.array(keep[of])
             yield pa.RecordBatch.from_arrays([*(whole.column(c).take(own).combine_chunks() for c in ("row", "twin")), pa.array(a), pa.array(b)], names=["row", "twin", "a", "b"])
 
@@ -250,6 +264,6 @@ def _hot_spans(runs: DataFrame, window: int) -> DataFrame:
                     same = [pa.repeat(part.column(c)[k], n) for c in ("row", "twin", "copies")]
                     yield pa.RecordBatch.from_arrays([*same, pa.array(low[k] + start), pa.array(marks.view(np.int64))], names=["row", "twin", "copies", "a", "hash"])
 
-    each = cut(runs.mapInArrow(windows, "row long, twin int, copies long, a long, hash long").distinct())
-    twice = cut(each.groupBy("hash").agg(F.sum("copies").alias("n")).filter("n > 1").select("hash"))
+    each = step(runs.mapInArrow(windows, "row long, twin int, copies long, a long, hash long").distinct())
+    twice = step(each.groupBy("hash").agg(F.sum("copies").alias("n")).filter("n > 1").select("hash"))
     return each.filter("copies = 1").join(twice, "hash", "left_semi").select("row", "twin", "a", (F.col("a") + window).alias("b"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import step
 from . import rolling
 from .license_scan import _joined, _steps
 
@@ -78,17 +78,6 @@ def counted(base: DataFrame) -> DataFrame:
     return base.mapInArrow(run, f"row long, twin int, id {base.schema['id'].dataType.simpleString()}, n_words long")
 
 
-def step(df: DataFrame) -> DataFrame:
-    """cut(), after which the shuffle files that led to it go, too."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = conf.get(key, "false")
-    conf.set(key, "true")
-    try:
-        return cut(df.select("*"))
-    finally:
-        conf.set(key, was)
-
-
 def those_in(base: DataFrame, rows: DataFrame) -> DataFrame:
     """The documents of (row, twin, id, text) whose row may be among ``rows``: all of these, and a few others by chance."""
     word, bit = F.shiftright("row", 6).bitwiseAND(FILTER_BITS // 64 - 1), F.expr("shiftleft(1L, cast(row & 63 as int))")
@@ -240,11 +229,11 @@ def _union(spans: Column) -> Column:
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
     start = F.struct(none.alias("done"), F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"))
 
-    def step(state: Column, s: Column) -> Column:
+    def add(state: Column, s: Column) -> Column:
         joins = s["a"] <= state["b"]
         closed = F.when(state["a"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(F.struct(state["a"].alias("a"), state["b"].alias("b")))))
         return F.when(joins, F.struct(state["done"].alias("done"), state["a"].alias("a"), F.greatest(state["b"], s["b"]).alias("b"))).otherwise(
             F.struct(closed.alias("done"), s["a"].alias("a"), s["b"].alias("b"))
         )
 
-    return F.aggregate(spans, start, step, lambda s: F.when(s["a"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))))
+    return F.aggregate(spans, start, add, lambda s: F.when(s["a"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))))
