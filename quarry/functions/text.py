@@ -243,7 +243,7 @@ def slug(name: Column) -> Column:
 
 def gist(text: Column, most: int = 260) -> Column:
     """Cut at the last space before the limit, with an ellipsis (H136)."""
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, most), r"\s+\S*$", ""), F.lit("…")))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, most), r" [^ ]*\z", ""), F.lit("…")))
 
 
 def name_key(c: Column) -> Column:
