@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import console, graph, lexical, pages, relational, reviews, sequences, streams, texts
+from . import chapters, console, graph, lexical, pages, relational, reviews, sequences, streams, texts
 
-MODULES = (console, lexical, graph, sequences, relational, pages, reviews, streams, texts)
+MODULES = (chapters, console, lexical, graph, sequences, relational, pages, reviews, streams, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
