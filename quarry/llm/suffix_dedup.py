@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from ..runtime import step
 from . import rolling
 
-#: Runs of a bucket, and distinct contexts of one anchor beyond which windows are compared by hash instead.
-BUCKET_RUNS, HOT_CONTEXTS = 10_000, 50_000
+#: Runs of a bucket and of what is sorted at once, and distinct contexts of one anchor beyond which windows are compared by hash.
+BUCKET_RUNS, SORTED_RUNS, HOT_CONTEXTS = 10_000, 2_000, 50_000
+#: Windows that are sorted at once; those at other distances from their anchor come next.
+SORTED_WINDOWS = 400_000
 #: Suffixes of a segment that isn't split further but sorted.
 SHORT = 4096
 
@@ -127,16 +129,21 @@ def _bucket(runs: np.ndarray, copies: np.ndarray, contexts: list[bytes], window:
     """
     low, anchor, high = rolling.unpack_run(runs)
     starts = np.concatenate([[0], np.cumsum([len(c) for c in contexts])[:-1]]).astype(np.int64)
-    count = high - low + 1
-    of = np.repeat(np.arange(len(runs)), count)
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     words = _eight_bytes(np.frombuffer(b"".join(contexts) + b"\0" * 8, np.uint8))
     head = [words[starts + anchor - low + k] for k in range(0, gram, 8)]
     head[-1] = head[-1] >> np.uint64(-gram % 8 * 8)
     mark = np.unique(np.stack(head, axis=1), axis=0, return_inverse=True)[1].ravel()
-    twice = multikey_groups(words, starts[of] + step, window, mark[of] * window + (anchor - low)[of] - step)
-    told = twice & (copies[of] == 1)
-    return _joined(of[told], low[of[told]] + step[told], window)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    distances = window - gram + 1
+    width = max(1, distances * SORTED_WINDOWS // max(1, int((high - low + 1).sum())))
+    for near in range(0, distances, width):
+        first = np.maximum(anchor - low - (near + width - 1), 0)
+        count = np.maximum(np.minimum(high - low, anchor - low - near) - first + 1, 0)
+        of = np.repeat(np.arange(len(runs)), count)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + first[of]
+        told = multikey_groups(words, starts[of] + step, window, mark[of] * window + (anchor - low)[of] - step) & (copies[of] == 1)
+        found.append((of[told], low[of[told]] + step[told]))
+    return _joined(*(np.concatenate([f[k] for f in found]) for k in (0, 1)), window)
 
 
 def _joined(rows: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,16 +213,22 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         held = [b for b in batches if b.num_rows]
         if held:
             whole = pa.Table.from_batches(held)
-            col = lambda c: whole.column(c).to_numpy()
             # a row that stands twice in the table gives its contexts twice
-            keep = np.unique(np.stack([col("row"), col("twin"), col("run")]), axis=1, return_index=True)[1]
-            texts = whole.column("context").to_pylist()
-            of, a, b = _bucket(col("run")[keep], col("copies")[keep], [texts[k] for k in keep], window, gram)
-            own = pa.array(keep[of])
-            yield pa.RecordBatch.from_arrays([*(whole.column(c).take(own).combine_chunks() for c in ("row", "twin")), pa.array(a), pa.array(b)], names=["row", "twin", "a", "b"])
+            keep = np.unique(np.stack([whole.column(c).to_numpy() for c in ("row", "twin", "run")]), axis=1, return_index=True)[1]
+            mark = whole.column("head").combine_chunks().dictionary_encode().indices.to_numpy()[keep]
+            order = np.argsort(mark, kind="stable")
+            keep, mark = keep[order], mark[order]
+            # equal windows have equal anchors, so that a bucket can be sorted in parts that cut between anchors
+            edges = np.flatnonzero(np.diff(mark, prepend=-1, append=-1))
+            cuts = sorted({0, len(keep), *edges[np.flatnonzero(np.diff(edges // SORTED_RUNS)) + 1].tolist()})
+            for low, high in zip(cuts, cuts[1:]):
+                part = whole.take(pa.array(keep[low:high]))
+                of, a, b = _bucket(part.column("run").to_numpy(), part.column("copies").to_numpy(), part.column("context").to_pylist(), window, gram)
+                own = pa.array(of)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(own).combine_chunks() for c in ("row", "twin")), pa.array(a), pa.array(b)], names=["row", "twin", "a", "b"])
 
     buckets = max(1, -(-open_runs.filter("not hot").count() // BUCKET_RUNS))
-    cool = cut_out.filter("not hot").repartitionByRange(buckets, "head").select("row", "twin", "run", "copies", "context")
+    cool = cut_out.filter("not hot").repartitionByRange(buckets, "head").select("row", "twin", "run", "copies", "head", "context")
     spans = settled.unionByName(cool.mapInArrow(sort_bucket, SPANS))
     if open_runs.filter("hot").limit(1).count():
         spans = spans.unionByName(_hot_spans(cut_out.filter("hot"), window))

@@ -55,6 +55,8 @@ def test_planted_passages_buckets_and_hot_anchors(spark, monkeypatch):
     run = lambda: got(suffix_dedup.remove_repeats(table, window=40, gram=8))
     assert run() == expected
     monkeypatch.setattr(suffix_dedup, "BUCKET_RUNS", 5)
+    monkeypatch.setattr(suffix_dedup, "SORTED_RUNS", 2)
+    monkeypatch.setattr(suffix_dedup, "SORTED_WINDOWS", 40)
     assert run() == expected
     monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", 1)
     assert run() == expected
