@@ -167,7 +167,7 @@ def origins(steps: DataFrame, start: str, rounds: int = 20) -> DataFrame:
 
 def keep_recent(rows: DataFrame, at: Column, now: Column, days: int) -> DataFrame:
     """Rows that have not ended or started within the days; 0 keeps all."""
-    return rows if not days else rows.filter(at >= now - F.make_dt_interval(F.lit(days)))
+    return rows if not days else rows.filter(at.isNull() | (at >= now - F.make_dt_interval(F.lit(days))))
 
 
 def expand_books(stems: DataFrame, chapters: DataFrame) -> DataFrame:
