@@ -104,5 +104,55 @@ FROM m
 """
 
 
+#: Starts of 50-word windows of whole texts, each with a hash of its words.
+_WINDOWS = """
+w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, s, md5(array_to_string(w[s : s + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM w WHERE len(w) >= 50))"""
+
+#: Islands of windows that overlap or touch, from (doc_id, s) of what goes, and their stretches.
+_ISLANDS = """
+o AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= {0} THEN 0 ELSE 1 END AS opens FROM gone),
+n AS (SELECT doc_id, s, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM o),
+spans AS (SELECT doc_id, min(s) AS a, max(s) + {0} AS b FROM n GROUP BY doc_id, island),
+removed AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list_sort(list({{'a': a, 'b': b}})) AS cuts FROM spans GROUP BY doc_id)"""
+
+OP2 = f"""
+WITH {_WINDOWS}, gone AS (SELECT doc_id, s FROM k QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, s) > 1), {_ISLANDS.format(50)}
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans FROM w LEFT JOIN removed USING (doc_id)
+"""
+
+OP4 = f"""
+WITH {_WINDOWS}, gone AS (SELECT doc_id, s FROM k QUALIFY doc_id > min(doc_id) OVER (PARTITION BY h)), {_ISLANDS.format(50)},
+kept AS (SELECT w.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  CASE WHEN cuts IS NULL THEN w ELSE flatten(list_transform(range(1, len(cuts) + 2), lambda i: w[CASE WHEN i = 1 THEN 1 ELSE cuts[i - 1].b END : CASE WHEN i > len(cuts) THEN len(w) ELSE cuts[i].a - 1 END])) END AS left_
+  FROM w LEFT JOIN removed USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed, sha256(array_to_string(left_, ' ')) AS kept_sha256 FROM kept
+"""
+
+OP10 = f"""
+WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+k AS (SELECT doc_id, s, hash(x[2 * s - 1 : 2 * s + 398]) AS h FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - 198)) AS s FROM x WHERE length(x) >= 400)),
+gone AS (SELECT doc_id, s FROM k QUALIFY count(*) OVER (PARTITION BY h) > 1), {_ISLANDS.format(200)},
+kept AS (SELECT x.doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN cuts IS NULL THEN x ELSE array_to_string(list_transform(range(1, len(cuts) + 2), lambda i: array_to_string(regexp_extract_all(x, '..')[CASE WHEN i = 1 THEN 1 ELSE cuts[i - 1].b END : CASE WHEN i > len(cuts) THEN length(x) // 2 ELSE cuts[i].a - 1 END], '')), '') END AS left_
+  FROM x LEFT JOIN removed USING (doc_id))
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, n_removed, n_spans, sha256(unhex(left_)) AS kept_sha256 FROM kept
+"""
+
+OP7 = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) END AS g FROM w),
+c AS (SELECT md5(array_to_string(g, chr(10))) AS c, min(doc_id) AS rep, count(*) AS n, any_value(g) AS g FROM g GROUP BY g),
+e AS (SELECT c, len(g) AS size, unnest(g) AS t FROM c),
+j AS (SELECT a.c AS l, b.c AS r, any_value(a.size) AS x, any_value(b.size) AS y, count(*) AS both_ FROM e a JOIN e b ON a.t = b.t AND a.c <> b.c GROUP BY a.c, b.c),
+links AS (SELECT l, r FROM j WHERE 10 * both_ >= 8 * (x + y - both_)),
+reach AS (SELECT c AS l, c AS r FROM c UNION SELECT reach.l, links.r FROM reach JOIN links ON links.l = reach.r),
+least AS (SELECT l AS c, min(rep) AS class_id FROM reach JOIN c ON c.c = reach.r GROUP BY l),
+degree AS (SELECT l AS c, count(*) AS n_set_links, sum(n) AS documents FROM links JOIN c ON c.c = links.r GROUP BY l)
+SELECT g.doc_id, class_id, (coalesce(documents, 0) + n - 1)::BIGINT AS n_links, coalesce(n_set_links, 0) AS n_set_links
+FROM g JOIN c ON c.g = g.g JOIN least ON least.c = c.c LEFT JOIN degree ON degree.c = c.c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3, "op5_line_dedup": OP5, "op8_quality_rules": OP8}
+    return {"op2_suffix_trees": OP2, "op3_warc": OP3, "op4_license_scan": OP4, "op5_line_dedup": OP5, "op7_jaccard_join": OP7, "op8_quality_rules": OP8, "op10_suffix_array": OP10}

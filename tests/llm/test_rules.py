@@ -9,14 +9,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarry.llm import decontam, line_dedup, oracles, quality_rules, sharding, warc
-from quarry.llm.queries import op1_decontamination, op3_warc, op5_line_dedup, op8_quality_rules, op9_sharding
+from quarry.llm.queries import op1_decontamination, op3_warc, op9_sharding, queries
 from tests.compare import difference, duck
 from tests.conftest import SF
 
 
-@pytest.mark.parametrize("query, sql", [(op3_warc, oracles.OP3), (op5_line_dedup, oracles.OP5), (op8_quality_rules, oracles.OP8)])
-def test_against_sql(spark, query, sql):
-    assert difference(query(spark, SF), duck(SF), sql) == ""
+@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
+def test_against_sql(spark, name):
+    assert difference(queries()[name](spark, SF), duck(SF), oracles.oracle_sql()[name]) == ""
 
 
 LINE = "This line is long enough to count as shared by documents"
