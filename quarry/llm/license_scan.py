@@ -27,6 +27,8 @@ from . import rolling
 BUCKET_RUNS, HOT_CONTEXTS = 20_000, 50_000
 #: Bytes of templates that one pass over the documents holds; measured before anything is broadcast.
 BLOCK_BYTES = 4 << 20
+#: Bits of the filter that keeps documents without open runs out of the text's shuffle; 16 MB at most, however many there are.
+FILTER_BITS = 1 << 27
 
 
 def _batches(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -108,6 +110,22 @@ def _joined(rows: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarr
     return rows[first], starts[first], starts[last] + window
 
 
+def those_in(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents of (row, ...) whose row may be among ``rows``: all of these, and a few others by chance."""
+    word, bit = F.shiftright("row", 6).bitwiseAND(FILTER_BITS // 64 - 1), F.expr("shiftleft(1L, cast(row & 63 as int))")
+    told = rows.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    held = np.zeros(FILTER_BITS // 64, np.int64)
+    held[told["word"].to_numpy().astype(np.int64)] = told["bits"].to_numpy().astype(np.int64)
+    spread = base.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column(0).to_numpy()
+            yield batch.filter(pa.array((spread.value[(row >> 6) & (FILTER_BITS // 64 - 1)] >> (row & 63)) & 1 == 1))
+
+    return base.mapInArrow(run, base.schema)
+
+
 def remove_copied(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 8) -> DataFrame:
     """The input's columns plus ``kept`` (string), ``n_words``, ``n_removed`` and ``spans`` (of words).
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import step
 from . import rolling
+from .license_scan import those_in
 
 #: Runs of a bucket and of what is sorted at once, and distinct contexts of one anchor beyond which windows are compared by hash.
 BUCKET_RUNS, SORTED_RUNS, HOT_CONTEXTS = 10_000, 2_000, 50_000
@@ -186,7 +187,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     part = classes.groupBy("mark").agg(F.count(F.lit(1)).alias("contexts"), F.min("copies").alias("least")).filter("contexts > 1 and least = 1")
     part = step(part.select("mark", (F.col("contexts") > HOT_CONTEXTS).alias("hot")))
-    open_runs = classes.join(part, "mark")
+    open_runs = step(classes.join(part, "mark").select("row", "twin", "run", "copies", "hot"))
     cells = open_runs.groupBy(F.col("row").alias("__row"), F.col("twin").alias("__twin")).agg(F.collect_list(F.struct("run", "copies", "hot")).alias("runs"))
     same = (F.col("row") == F.col("__row")) & (F.col("twin") == F.col("__twin"))
 
@@ -206,7 +207,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
                     out, size = [[] for _ in range(7)], 0
             yield _context_batch(out)
 
-    together = base.select("row", "twin", "text").join(cells, same).select("row", "twin", "text", "runs")
+    together = those_in(base.select("row", "twin", "text"), open_runs.select("row")).join(cells, same).select("row", "twin", "text", "runs")
     cut_out = together.mapInArrow(contexts, "row long, twin int, run long, copies long, hot boolean, head binary, context binary")
 
     def sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import step
 from . import rolling
-from .license_scan import _joined, _steps
+from .license_scan import _joined, _steps, those_in
 
 #: Words of a suffix that are compared; runs that a group should hold at most, and contexts of an anchor beyond which its prefix grows.
 DEPTH, GROUP_SUFFIXES = 50, 20_000
@@ -28,8 +28,6 @@ DEPTH, GROUP_SUFFIXES = 50, 20_000
 LEVELS = (0.04, 0.16, 0.5, 1.0)
 #: Words of a gram that can be an anchor.
 GRAM = 16
-#: Bits of the filter that keeps documents without open runs out of the text's shuffle; 16 MB at most, however many there are.
-FILTER_BITS = 1 << 27
 
 
 def anchored(hashes: np.ndarray, first: np.ndarray, min_words: int) -> dict[str, np.ndarray]:
@@ -78,22 +76,6 @@ def counted(base: DataFrame) -> DataFrame:
     return base.mapInArrow(run, f"row long, twin int, id {base.schema['id'].dataType.simpleString()}, n_words long")
 
 
-def those_in(base: DataFrame, rows: DataFrame) -> DataFrame:
-    """The documents of (row, twin, id, text) whose row may be among ``rows``: all of these, and a few others by chance."""
-    word, bit = F.shiftright("row", 6).bitwiseAND(FILTER_BITS // 64 - 1), F.expr("shiftleft(1L, cast(row & 63 as int))")
-    told = rows.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    held = np.zeros(FILTER_BITS // 64, np.int64)
-    held[told["word"].to_numpy().astype(np.int64)] = told["bits"].to_numpy().astype(np.int64)
-    spread = base.sparkSession.sparkContext.broadcast(held)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = batch.column(0).to_numpy()
-            yield batch.filter(pa.array((spread.value[(row >> 6) & (FILTER_BITS // 64 - 1)] >> (row & 63)) & 1 == 1))
-
-    return base.mapInArrow(run, base.schema)
-
-
 def deep_nodes(words: np.ndarray, start: np.ndarray, node: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes (indexes into ``start``) below inner nodes of ``depth`` words, and their nodes, node by node.
 
