@@ -173,7 +173,7 @@ def remove_copied(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     names=["row", "doc", "mark", "hot", "low", "anchor", "words"],
                 )
 
-    together = base.select("row", "doc", "text").join(cells, same).select("row", "doc", "text", "runs")
+    together = those_in(base.select("row", "doc", "text"), open_runs.select("row")).join(cells, same).select("row", "doc", "text", "runs")
     cut_out = together.mapInArrow(contexts, f"row long, doc {kind}, mark long, hot boolean, low long, anchor long, words array<long>")
     buckets = max(1, -(-open_runs.filter("not hot").count() // BUCKET_RUNS))
 
