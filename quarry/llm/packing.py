@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Distinct words a worker remembers the ids of, some 200 MB; beyond it the half learned last is forgotten, as frequent
+#: Distinct words a worker remembers the ids of, some 100 MB; beyond it the half learned last is forgotten, as frequent
 #: words are met early.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Bytes of text worked on at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: The byte-level alphabet's letter for a space (fixed value).
 SPACE = "\u0120"
 
@@ -97,8 +97,12 @@ class Words:
         self.heads.update(zip(new, self._add_each(new)))
         told = flat.dictionary_encode()
         words = told.dictionary.to_pylist()
-        self._learn([w for w in words if w not in self.inner])
-        at = np.fromiter(map(self.inner.__getitem__, words), np.int64, len(words))[told.indices.to_numpy()]
+        known = list(map(self.inner.get, words))
+        unknown = [k for k, at in enumerate(known) if at is None]
+        self._learn([words[k] for k in unknown])
+        for k in unknown:
+            known[k] = self.inner[words[k]]
+        at = np.array(known, np.int64)[told.indices.to_numpy()]
         at[first] = np.fromiter(map(self.heads.__getitem__, heads), np.int64, len(heads))
         after = len(self.ends) - 1  # what follows is not remembered
         at[first[odd]] = np.array(self._add_each(whole), np.int64)
@@ -106,7 +110,9 @@ class Words:
         at = np.insert(at, first + count, end)
         start, size = self.ends[at], self.ends[at + 1] - self.ends[at]
         upto = np.cumsum(size)
-        ids = self.ids[np.arange(upto[-1]) + np.repeat(start - upto + size, size)]
+        place = np.repeat((start - upto + size).astype(np.int32), size)
+        place += np.arange(upto[-1], dtype=np.int32)
+        ids = self.ids[place]
         self.ends = self.ends[: after + 1]
         return ids, np.concatenate([[0], upto[np.cumsum(count + 1) - 1]])
 
