@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .vector import global_rank
+
 # Fixed values.
 PAGE_ROWS, BOOK_PAGES = 100, 100
 # End of fixed values.
@@ -121,7 +123,7 @@ def append_distinct(listed: DataFrame, new: DataFrame, key: str = "name") -> Dat
     """An ordered list with new names at its end, each name once."""
     both = listed.select(key, F.lit(0).alias("part"), "pos").unionByName(new.select(key, F.lit(1).alias("part"), "pos"))
     first = both.groupBy(key).agg(F.min(F.struct("part", "pos")).alias("at"))
-    return first.select(key, (F.row_number().over(Window.orderBy("at", key)) - 1).alias("pos"))
+    return global_rank(first, [F.col("at"), F.col(key)]).select(key, (F.col("rank") - 1).alias("pos"))
 
 
 def progress(pdfs: DataFrame, texts: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chapters, console, graph, layout, lexical, maps, pages, refine, relational, reviews, sequences, streams, texts, work
+from . import chapters, console, graph, layout, lexical, maps, pages, prepare, refine, relational, reviews, sequences, streams, texts, work
 
-MODULES = (chapters, console, maps, refine, layout, lexical, graph, sequences, relational, pages, reviews, streams, texts, work)
+MODULES = (chapters, console, maps, refine, layout, prepare, lexical, graph, sequences, relational, pages, reviews, streams, texts, work)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

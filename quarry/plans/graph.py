@@ -236,13 +236,13 @@ FOUND = "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1"
 
 
 def debate_pairs(spark, sf_dir):
-    works = _works(spark, sf_dir).filter("base < 400")
+    works = _works(spark, sf_dir)
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("base"), "embedding")
     return C.debates(works, vectors).select("anchor", "newer", F.round("score", 6).alias("score"), "rank")
 
 
 DEBATES = f"""
-WITH {WORKS}, {VECTORS}, k AS (SELECT * FROM w WHERE base < 400),
+WITH {WORKS}, {VECTORS}, k AS (SELECT * FROM w),
 p AS (SELECT quantile_cont(cited_by_count, 0.66) AS cites, quantile_cont(year, 0.5) AS split FROM k),
 s AS (SELECT a.base AS anchor, b.base AS newer, {COS.format('x.e', 'y.e')} AS score
       FROM k a, k b, p, v x, v y WHERE a.cited_by_count >= cites AND a.year <= split AND b.year > split AND x.vec_id = a.base AND y.vec_id = b.base)

@@ -113,7 +113,7 @@ SELECT o_orderkey, k IN (1, 3, 7) AS plain, c % 4 = 0 OR k IN (1, 3, 7) AS sized
 
 def page_tables(spark, sf_dir):
     """Lines inside tables of their page, the tables that count, and one as text."""
-    lines = _lines(spark, sf_dir).filter("page % 5 = 0").withColumn("line", F.col("line"))
+    lines = _lines(spark, sf_dir)
     tables = lines.filter("line < 3").select("doc", "page", F.col("line").alias("pos"), F.col("x0"), (F.col("y0") - 10).alias("y0"), (F.col("x0") + 80).alias("x1"), (F.col("y0") + 40).alias("y1"))
     rows = F.array(F.array(F.lit("a|b"), F.col("text")), F.array(F.lit(" x  y ")), F.array(F.lit("1"), F.lit("2")))
     met = P.covering(lines, tables)
@@ -121,7 +121,7 @@ def page_tables(spark, sf_dir):
 
 
 TABLES = f"""
-WITH {LINES}, x AS (SELECT * FROM l WHERE page % 5 = 0), t AS (SELECT doc, page, line AS pos, x0, y0 - 10 AS y0, x0 + 80 AS x1, y0 + 40 AS y1 FROM x WHERE line < 3),
+WITH {LINES}, x AS (SELECT * FROM l), t AS (SELECT doc, page, line AS pos, x0, y0 - 10 AS y0, x0 + 80 AS x1, y0 + 40 AS y1 FROM x WHERE line < 3),
 h AS (SELECT x.doc, x.page, x.line, min(pos) AS table_pos FROM x JOIN t ON t.doc = x.doc AND t.page = x.page AND (x.x0 + x.x1) / 2 BETWEEN t.x0 AND t.x1 AND (x.y0 + x.y1) / 2 BETWEEN t.y0 AND t.y1 GROUP BY ALL)
 SELECT doc, page, line, table_pos, '| a/b | ' || text || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| x y |  |' || chr(10) || '| 1 | 2 |' AS markdown, page % 6000 <= 5000 AND (line >= 3 OR table_pos >= 3) AS ruled, line * 20 < 80 AS "table"
 FROM x LEFT JOIN h USING (doc, page, line)
@@ -143,7 +143,7 @@ UNION ALL SELECT doc, line, 0, upper(p_name) FROM l WHERE k = 1 UNION ALL SELECT
 
 def contents_levels(spark, sf_dir):
     """Levels of contents entries that are believable, with the loose lines that they come from."""
-    line = _line(spark, sf_dir).filter("n <= 6")
+    line = _line(spark, sf_dir)
     no = F.col("n") * 9 + F.col("k") % 12
     lines = line.select(F.col("o").alias("doc"), F.col("n").alias("pos"), F.concat(F.when(F.col("k") % 3 == 0, F.concat("n", F.lit(". "))).when(F.col("k") % 3 == 1, F.lit("")).otherwise(F.lit("Part ")), F.lit("title "), F.col("k"), F.lit(" .... "), no).alias("text"), F.lit(100).alias("pages"), (F.col("s") % 5 == 0).alias("bold"))
     entries = K.loose_entries(lines).join(lines.select("doc", "pos", "bold"), ["doc", "pos"])
@@ -151,7 +151,7 @@ def contents_levels(spark, sf_dir):
 
 
 LEVELS = f"""
-WITH {LINE}, e AS (SELECT o AS doc, n AS pos, k % 3 AS c, (CASE k % 3 WHEN 0 THEN n || '. ' WHEN 1 THEN '' ELSE 'Part ' END) || 'title ' || k AS title, (n * 9 + k % 12)::INT AS no, s % 5 = 0 AS bold FROM i WHERE n <= 6),
+WITH {LINE}, e AS (SELECT o AS doc, n AS pos, k % 3 AS c, (CASE k % 3 WHEN 0 THEN n || '. ' WHEN 1 THEN '' ELSE 'Part ' END) || 'title ' || k AS title, (n * 9 + k % 12)::INT AS no, s % 5 = 0 AS bold FROM i),
 f AS (SELECT doc, count(*) AS cnt, avg((no < prev)::INT) AS falls FROM (SELECT doc, no, lag(no) OVER (PARTITION BY doc ORDER BY pos) AS prev FROM e) GROUP BY doc HAVING count(*) >= 3 AND coalesce(avg((no < prev)::INT), 0) <= 0.3),
 w AS (SELECT e.*, min(CASE WHEN c = 0 THEN pos END) OVER (PARTITION BY doc) AS a, max(CASE WHEN c = 0 THEN pos END) OVER (PARTITION BY doc) AS z, avg(bold::INT) OVER (PARTITION BY doc) AS b FROM e SEMI JOIN f USING (doc))
 SELECT doc, pos, title, no, CASE WHEN c = 0 THEN 1 WHEN c = 2 THEN 0 WHEN a IS NULL OR pos < a OR pos > z OR (b < 0.5 AND bold) THEN 1 ELSE 2 END AS level FROM w
@@ -202,21 +202,21 @@ SELECT doc, "offset" FROM b WHERE r = 1 AND n >= 10 AND n / all_ >= 0.6
 
 def bound_repairs(spark, sf_dir):
     """Bounds after furniture and leading fragments are gone, with the characters of their units."""
-    line = _line(spark, sf_dir).filter("n <= 5")
-    bounds = line.select(F.col("o").alias("doc"), F.col("n").alias("pos"), (F.col("n") * 10).alias("page"), (F.col("k") % 3 > 0).alias("matched"), F.lit(60).alias("pages"))
-    pages = bounds.select("doc").distinct().select("doc", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("page")).withColumn("chars", F.pmod(F.col("doc") + F.col("page"), F.lit(300)))
+    line = _line(spark, sf_dir)
+    bounds = line.select(F.col("o").alias("doc"), F.col("n").alias("pos"), (F.col("n") * 10).alias("page"), (F.col("k") % 3 > 0).alias("matched"), F.lit(80).alias("pages"))
+    pages = bounds.select("doc").distinct().select("doc", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("page")).withColumn("chars", F.pmod(F.col("doc") + F.col("page"), F.lit(300)))
     furniture = bounds.filter("doc % 4 = 0 and pos = 2").select("doc", F.explode(F.sequence("page", F.col("page") + 6)).alias("page"))
     kept = K.without_leading(K.without_furniture(bounds, furniture), pages)
     return K.unit_chars(K.unit_pages(kept), pages).select("doc", "pos", "page", "stop", F.col("chars").cast("long").alias("chars"))
 
 
 REPAIRS = f"""
-WITH {LINE}, b AS (SELECT o AS doc, n AS pos, n * 10 AS page, k % 3 > 0 AS matched FROM i WHERE n <= 5), u AS (SELECT *, coalesce(lead(page) OVER (PARTITION BY doc ORDER BY page), 60) AS stop FROM b),
+WITH {LINE}, b AS (SELECT o AS doc, n AS pos, n * 10 AS page, k % 3 > 0 AS matched FROM i), u AS (SELECT *, coalesce(lead(page) OVER (PARTITION BY doc ORDER BY page), 80) AS stop FROM b),
 f AS (SELECT *, doc % 4 = 0 AND pos = 2 AND 7 / (stop - page) >= 0.5 AS gone FROM u), k AS (SELECT doc, pos, page, matched FROM f QUALIFY NOT gone OR count(*) FILTER (NOT gone) OVER (PARTITION BY doc) < 2),
-s AS (SELECT *, coalesce(lead(page) OVER (PARTITION BY doc ORDER BY page), 60) AS stop FROM k),
+s AS (SELECT *, coalesce(lead(page) OVER (PARTITION BY doc ORDER BY page), 80) AS stop FROM k),
 c AS (SELECT s.doc, pos, s.page, matched, stop, list_sum(list_transform(range(s.page, stop), lambda p: (s.doc + p) % 300))::BIGINT AS chars FROM s),
 l AS (SELECT *, min((NOT matched AND chars < 1500)::INT) OVER (PARTITION BY doc ORDER BY page) AS lead_, row_number() OVER (PARTITION BY doc ORDER BY page) AS r, count(*) OVER (PARTITION BY doc) AS n FROM c),
-m AS (SELECT doc, pos, page FROM l WHERE lead_ = 0 OR r > n - 2), v AS (SELECT *, coalesce(lead(page) OVER (PARTITION BY doc ORDER BY page), 60) AS stop FROM m)
+m AS (SELECT doc, pos, page FROM l WHERE lead_ = 0 OR r > n - 2), v AS (SELECT *, coalesce(lead(page) OVER (PARTITION BY doc ORDER BY page), 80) AS stop FROM m)
 SELECT doc, pos, page, stop, list_sum(list_transform(range(page, stop), lambda p: (doc + p) % 300))::BIGINT AS chars FROM v
 """
 
@@ -255,7 +255,56 @@ y AS (SELECT *, chars / greatest(sum(chars) OVER b, 1) AS share, coalesce(median
 SELECT stem, count(*) AS files, 0::BIGINT AS rejected FROM y WHERE NOT (chars < 250 OR (ref >= 0.55 AND share < 0.25) OR (chars < greatest(1200, 0.15 * typical) AND paras < 3)) GROUP BY stem
 """
 
+def line_kinds(spark, sf_dir):
+    """HEAD, LIST, PARA or CONT of every line by its geometry."""
+    return G.labels(_blocks(spark, sf_dir)).select("doc", "page", "line", "label")
+
+
+KINDS = f"""
+WITH {LINES}, z AS (SELECT doc, size, sum(length(text)) AS n, min((page, line)) AS first FROM l GROUP BY ALL), y AS (SELECT doc, size AS body FROM z QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC, first) = 1),
+g AS (SELECT b.*, size > body + 0.5 AS head, min(x0) OVER w AS lft, max(x1) OVER w AS rgt, greatest(max(x1) OVER w - min(x0) OVER w, 1) AS width, median(y1 - y0) OVER w AS lh,
+  starts_with(text, '• ') OR (starts_with(text, '2. ') AND count(*) FILTER (starts_with(text, '2. ')) OVER w >= 2) AS item FROM b JOIN y USING (doc) WINDOW w AS (PARTITION BY doc, page, block)),
+v AS (SELECT *, lag(line) OVER w IS NULL OR lag(head) OVER w AS fresh, y0 - lag(y1) OVER w AS gap, lag(x1) OVER w AS ended FROM g WINDOW w AS (PARTITION BY doc, page, block ORDER BY line))
+SELECT doc, page, line, CASE WHEN head THEN 'HEAD' WHEN item THEN 'LIST' WHEN fresh OR gap > 0.6 * lh OR x0 > lft + 0.4 * lh OR (ended < rgt - 0.2 * width AND x0 <= lft + 0.05 * width AND gap >= -0.3 * lh) THEN 'PARA' ELSE 'CONT' END AS label FROM v
+"""
+
+
+def page_elements(spark, sf_dir):
+    """Headings, paragraphs, items and tables of pages in reading order, by kind; joining lines has no short SQL."""
+    return G.elements(_blocks(spark, sf_dir)).groupBy("doc", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+def title_matches(spark, sf_dir):
+    """Contents titles found among headings of their book, with the offset and the bounds that follow; fuzzy ratios have no SQL."""
+    part = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 25).alias("doc"), (F.col("p_partkey") % 25).cast("long").alias("pos"), F.concat(F.lit("Of "), "p_name", F.lit(" "), "p_type").alias("title"))
+    headings = part.select("doc", (F.col("pos") * 4 + 3).alias("page"), "pos", F.when(F.col("pos") % 5 > 0, F.col("title")).otherwise(F.concat("title", F.lit("s"))).alias("text"))
+    wanted = part.select("doc", "pos", "title", (F.col("pos") * 4 + 2).alias("page"))
+    return K.verified(wanted, headings).select("doc", "pos", "page", "matched", F.round("fraction", 6).alias("fraction"))
+
+
+def contents_found(spark, sf_dir):
+    """Printed contents of made-up books: their pages, rows and entries."""
+    from ..operators import contents as T
+
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("doc"), "n_nationkey", "n_name")
+    row = nation.select("doc", F.lit(2).alias("page"), F.concat("n_name", F.lit(" of the river")).alias("a"), (F.col("n_nationkey") * 5 + 7).cast("string").alias("b"), (F.col("n_nationkey") * 14.0).alias("y0"))
+    left = row.select("doc", "page", F.col("a").alias("text"), F.lit(40.0).alias("x0"), "y0", F.lit(200.0).alias("x1"), (F.col("y0") + 10).alias("y1"), F.lit(False).alias("bold"))
+    right = row.select("doc", "page", F.col("b").alias("text"), F.lit(480.0).alias("x0"), "y0", F.lit(500.0).alias("x1"), (F.col("y0") + 10).alias("y1"), F.lit(False).alias("bold"))
+    title = row.select("doc", "page").distinct().select("doc", "page", F.lit("Contents").alias("text"), F.lit(40.0).alias("x0"), F.lit(-30.0).alias("y0"), F.lit(100.0).alias("x1"), F.lit(-20.0).alias("y1"), F.lit(True).alias("bold"))
+    pages = row.select("doc", "page").distinct().select("doc", "page", F.lit(540.0).alias("width"), F.lit(200).alias("pages"))
+    found = T.entries(T.rows(left.unionByName(right).unionByName(title)), pages)
+    return T.carried(found, T.contents_pages(T.page_kinds(found))).select("doc", "pos", "title", "no", "roman")
+
+
+FOUND = """
+SELECT n_regionkey::VARCHAR AS doc, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS pos, n_name || ' of the river' AS title, (n_nationkey * 5 + 7)::INT AS no, false AS roman FROM nation
+"""
+
 QUERIES = {
+    "line_kinds": (line_kinds, KINDS),
+    "page_elements": (page_elements, None),
+    "title_matches": (title_matches, None),
+    "contents_found": (contents_found, FOUND),
     "glyph_lines": (glyph_lines, GLYPHS),
     "text_blocks": (text_blocks, BLOCKS),
     "page_statistics": (page_statistics, STATISTICS),

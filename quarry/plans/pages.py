@@ -23,14 +23,18 @@ def _lines(spark, sf_dir):
 
 
 def running_headers(spark, sf_dir):
-    return P.running_headers(_lines(spark, sf_dir), 2)
+    """Every third page opens with its book's name."""
+    opened = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Book of "), "source", F.lit("\n"), "text")).otherwise(F.col("text"))
+    docs = table(spark, sf_dir, "documents").withColumn("text", opened)
+    return P.running_headers(docs.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "text")), 2)
 
 
 HEADERS_CTE = f"""{LINES},
 c AS (SELECT doc, key, sum((a <= {{0}})::INT + (b <= {{0}})::INT) AS n FROM k WHERE key IS NOT NULL GROUP BY ALL),
 p AS (SELECT doc, count(DISTINCT page) AS pages FROM k GROUP BY doc),
 h AS (SELECT doc, key FROM c JOIN p USING (doc) WHERE pages >= 4 AND n >= greatest(3, floor(pages * 0.3)))"""
-HEADERS = f"WITH {HEADERS_CTE.format(2)} SELECT * FROM h"
+HEADERS = f"WITH {HEADERS_CTE.format(2)} SELECT * FROM h".replace(
+    "FROM documents)", "FROM (SELECT source, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Book of ' || source || chr(10) || text ELSE text END AS text FROM documents))")
 
 
 def header_candidates(spark, sf_dir):
@@ -91,14 +95,14 @@ ROUTES = """SELECT source AS doc, CASE WHEN avg(CASE WHEN length(text) >= 400 TH
 
 def nearest_snap(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    bounds = orders.filter("o_orderkey % 37 = 0").select((F.col("o_custkey") % 20).alias("doc"), F.col("o_orderkey").alias("bound"))
-    targets = orders.filter("o_orderkey % 23 = 0").select((F.col("o_custkey") % 20).alias("doc"), (F.col("o_orderkey") + 3).alias("target"))
+    bounds = orders.select((F.col("o_custkey") % 20).alias("doc"), F.col("o_orderkey").alias("bound"))
+    targets = orders.select((F.col("o_custkey") % 20).alias("doc"), (F.col("o_orderkey") * 3 + 1).alias("target"))
     return P.nearest_snap(bounds.distinct(), targets.distinct(), 400)
 
 
 SNAP = """
-WITH b AS (SELECT DISTINCT o_custkey % 20 AS doc, o_orderkey AS bound FROM orders WHERE o_orderkey % 37 = 0),
-t AS (SELECT DISTINCT o_custkey % 20 AS doc, o_orderkey + 3 AS target FROM orders WHERE o_orderkey % 23 = 0),
+WITH b AS (SELECT DISTINCT o_custkey % 20 AS doc, o_orderkey AS bound FROM orders),
+t AS (SELECT DISTINCT o_custkey % 20 AS doc, o_orderkey * 3 + 1 AS target FROM orders),
 m AS (SELECT b.doc, bound, target, abs(bound - target) AS gap FROM b JOIN t ON b.doc = t.doc AND abs(bound - target) <= 400),
 n AS (SELECT *, gap = least0 AS own FROM (SELECT *, min(gap) OVER (PARTITION BY doc, target) AS least0 FROM m) QUALIFY row_number() OVER (PARTITION BY doc, bound ORDER BY gap, target) = 1)
 SELECT b.doc, b.bound, CASE WHEN n.own AND b.bound <> 0 THEN n.target ELSE b.bound END AS snapped FROM b LEFT JOIN n ON b.doc = n.doc AND b.bound = n.bound

@@ -110,12 +110,12 @@ def list_members(spark, sf_dir):
 def list_memberships(spark, sf_dir):
     lists, items, docs = _lists(spark, sf_dir)
     more = items.unionByName(items.withColumn("list_id", (F.col("list_id") + 1) % 25))
-    return B.memberships(more, lists, docs.filter("id % 3 = 0")).select("document_id", F.lower(F.array_join("lists", ",")).alias("lists"))
+    return B.memberships(more, lists, docs).select("document_id", F.lower(F.array_join("lists", ",")).alias("lists"))
 
 
 MEMBERS = """
 WITH i AS (SELECT c_custkey AS d, c_nationkey AS l FROM customer UNION ALL SELECT c_custkey, (c_nationkey + 1) % 25 FROM customer)
-SELECT d AS document_id, lower(string_agg(DISTINCT n_name, ',' ORDER BY n_name)) AS lists FROM i JOIN nation ON n_nationkey = l WHERE d % 3 = 0 GROUP BY d
+SELECT d AS document_id, lower(string_agg(DISTINCT n_name, ',' ORDER BY n_name)) AS lists FROM i JOIN nation ON n_nationkey = l GROUP BY d
 """
 
 
@@ -221,7 +221,7 @@ SELECT doc_id, contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), low
 
 def record_link(spark, sf_dir):
     """Names cut from documents' openings against the openings themselves."""
-    docs = table(spark, sf_dir, "documents").filter("n_chars > 300")
+    docs = table(spark, sf_dir, "documents").filter("text <> ''")
     opening = F.substring("text", 1, 100)
     works = docs.filter("doc_id % 20 = 0").select(F.concat(F.get(X.name_words(F.col("text")), F.lit(0)), F.lit("_"), F.substring("text", 1, 80)).alias("work"))
     records = docs.select(F.col("doc_id").alias("pos"), opening.alias("title"), F.concat(F.lit("10.1/"), F.col("doc_id").cast("string")).alias("doi"), F.array(F.get(X.name_words(F.col("text")), F.lit(0))).alias("authors"))
@@ -229,7 +229,7 @@ def record_link(spark, sf_dir):
 
 
 LINK = f"""
-WITH d AS (SELECT * FROM documents WHERE n_chars > 300),
+WITH d AS (SELECT * FROM documents WHERE text <> ''),
 w AS (SELECT DISTINCT {WORDS_SQL.format('text')}[1] || '_' || substr(text, 1, 80) AS work FROM d WHERE doc_id % 20 = 0),
 ww AS (SELECT work, {WORDS_SQL.format("substr(work, strpos(work, '_') + 1)")} AS a, {WORDS_SQL.format("string_split(work, '_')[1]")}[1] AS author FROM w),
 r AS (SELECT doc_id, {WORDS_SQL.format('substr(text, 1, 100)')} AS b, lower({WORDS_SQL.format('text')}[1]) AS names FROM d)

@@ -219,11 +219,11 @@ CHUNKS = "SELECT conv_id AS doc, turn // 3 AS chunk, string_agg(text, '|' ORDER
 
 def major_moves(spark, sf_dir):
     rows = _rows(spark, sf_dir)
-    stages = rows.filter("base % 10 = 0").select(F.col("base").alias("skeleton"), "label", "pos", F.concat(F.lit("i"), F.col("pos").cast("string")).alias("intent"), (F.col("value") / 200).alias("typical_share"))
+    stages = rows.select(F.col("base").alias("skeleton"), "label", "pos", F.concat(F.lit("i"), F.col("pos").cast("string")).alias("intent"), (F.col("value") / 200).alias("typical_share"))
     return S.major_moves(stages).select("skeleton", "label", "intent")
 
 
-MAJOR = f"WITH {ROWS} SELECT base AS skeleton, label, 'i' || pos AS intent FROM r WHERE base % 10 = 0 AND value / 200 >= 0.1 QUALIFY row_number() OVER (PARTITION BY base, label ORDER BY value DESC, pos) = 1"
+MAJOR = f"WITH {ROWS} SELECT base AS skeleton, label, 'i' || pos AS intent FROM r WHERE value / 200 >= 0.1 QUALIFY row_number() OVER (PARTITION BY base, label ORDER BY value DESC, pos) = 1"
 
 QUERIES = {
     "islands_events": (islands_events, f"WITH {ISLANDS} SELECT base, run, label, first, last, n FROM i"),

@@ -195,11 +195,11 @@ def ris(text: Column) -> Column:
 
 def reference_export(spark: SparkSession, path: str) -> DataFrame:
     """pos, title, doi, authors of a reference manager's export, by suffix."""
-    from pyspark.sql import Window
+    from ..operators.vector import global_rank
 
     if path.endswith(".json"):
-        found = csl(spark, path).withColumn("pos", F.monotonically_increasing_id())
-        return found.select((F.row_number().over(Window.orderBy("pos")) - 1).alias("pos"), "title", "doi", "authors")
+        found = csl(spark, path).withColumn("__at", F.monotonically_increasing_id())
+        return global_rank(found, [F.col("__at")]).select((F.col("rank") - 1).alias("pos"), "title", "doi", "authors")
     for suffix, parse in ((".bib", bibtex), (".ris", ris)):
         if path.endswith(suffix):
             return spark.read.text(path, wholetext=True).select(F.posexplode(parse(F.col("value"))).alias("pos", "r")).select("pos", "r.*")
