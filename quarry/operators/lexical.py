@@ -249,8 +249,10 @@ def salient(docs: DataFrame, id_col: str, text: Column, terms: list[str], k: int
 
 def select_passages(docs: DataFrame, id_col: str, passages: Column, terms: list[str], k: int = 12) -> DataFrame:
     """doc, pos, passage: all if few, else the best k by BM25 and every section opener, in document order (X11)."""
-    rows = docs.select(F.col(id_col).alias("doc"), passages.alias("held"))
-    rows = okapi_within(rows.withColumn("tokens", F.transform("held", X.search_tokens)), "tokens", terms)
+    # explode of one array keeps the fold over a text from being worked out again wherever its result is used
+    rows = docs.select(F.col(id_col).alias("doc"), F.explode(F.array(passages)).alias("held"))
+    rows = rows.select("doc", "held", F.explode(F.array(F.transform("held", X.search_tokens))).alias("tokens"))
+    rows = okapi_within(rows, "tokens", terms)
     each = _ranked(rows, "held", k).select("doc", "held", F.explode("order").alias("x"))
     placed = each.select("doc", "x.pos", F.get("held", F.col("x.pos")).alias("passage"), "x.rank")
     return placed.filter((F.col("rank") <= k) | F.col("passage").rlike(X.KEPT_SECTION)).drop("rank")
