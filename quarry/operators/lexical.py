@@ -92,7 +92,9 @@ def okapi_within(docs: DataFrame, tokens: str, query: list[str]) -> DataFrame:
     weighed = weighed.withColumn("__idf", F.array(*[F.when(F.col("__df")[k] == 0, 0.0).when(r < 0, F.col("__floor")).otherwise(r) for k, r in enumerate(raw)]))
 
     def score(own: Column) -> Column:
-        part, norm = F.lit(0.0), OKAPI_K1 * (1 - OKAPI_B + OKAPI_B * F.size(own) / F.col("__avg"))
+        # a row without any token, as of a text in another script, has no mean length
+        length = F.coalesce(F.size(own) / F.nullif(F.col("__avg"), F.lit(0.0)), F.lit(0.0))
+        part, norm = F.lit(0.0), OKAPI_K1 * (1 - OKAPI_B + OKAPI_B * length)
         for k, term in enumerate(terms):
             tf = _count(own, term)
             part = part + query.count(term) * F.col("__idf")[k] * tf * (OKAPI_K1 + 1) / (tf + norm)
@@ -241,8 +243,9 @@ def _ranked(rows: DataFrame, held: str, k: int) -> DataFrame:
 
 def salient(docs: DataFrame, id_col: str, text: Column, terms: list[str], k: int = 12) -> DataFrame:
     """doc, pos, sentence, rank: a document's quotable sentences, all in order if few, else the best by BM25."""
-    rows = docs.select(F.col(id_col).alias("doc"), X.quotable(text).alias("held"))
-    rows = okapi_within(rows.withColumn("tokens", F.transform("held", X.search_tokens)), "tokens", terms)
+    rows = docs.select(F.col(id_col).alias("doc"), F.explode(F.array(X.quotable(text))).alias("held"))
+    rows = rows.select("doc", "held", F.explode(F.array(F.transform("held", X.search_tokens))).alias("tokens"))
+    rows = okapi_within(rows, "tokens", terms)
     best = _ranked(rows, "held", k).select("doc", "held", F.explode(F.slice("order", 1, k)).alias("x"))
     return best.select("doc", "x.pos", F.get("held", F.col("x.pos")).alias("sentence"), "x.rank")
 
