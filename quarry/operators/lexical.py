@@ -238,7 +238,9 @@ def _ranked(rows: DataFrame, held: str, k: int) -> DataFrame:
     """The rows with ``order``: struct(minus rounded score, pos, rank) of each array element, best first, all in order if few."""
     n = F.size(held)
     scored = F.transform("scores", lambda s, i: F.struct(F.when(n > k, -F.round(s, 9)).otherwise(0.0).alias("by"), i.alias("pos")))
-    return rows.withColumn("order", F.transform(F.array_sort(scored), lambda x, i: F.struct(x["pos"].alias("pos"), (i + 1).alias("rank"))))
+    order = F.transform(F.array_sort(scored), lambda x, i: F.struct(x["pos"].alias("pos"), (i + 1).alias("rank")))
+    # explode of one array: a filter on the order, which Spark adds below a later explode, would work the scores out again
+    return rows.select("doc", held, F.explode(F.array(order)).alias("order"))
 
 
 def salient(docs: DataFrame, id_col: str, text: Column, terms: list[str], k: int = 12) -> DataFrame:
