@@ -36,9 +36,16 @@ def section_terms(terms: DataFrame, sections: DataFrame, k: int = 6) -> DataFram
 
 
 def group_by_map(candidates: DataFrame, threads: DataFrame) -> DataFrame:
-    """Candidates (base, key, score) with the first thread (pos, thread, key) that lists them, and their group's place."""
-    claimed = candidates.join(threads, "key").groupBy("base", "score").agg(F.min(F.struct("pos", "thread")).alias("t")).select("base", "score", "t.thread")
-    total = claimed.groupBy("thread").agg(F.sum("score").alias("total"))
+    """Candidates (base, key, score) with the first thread (pos, thread, key) that lists them, and their group's place.
+
+    Scores are summed as decimals, so that groups with equal totals are placed by name whatever the order of their rows; groups
+    with scores that no such decimal holds are summed as they are.
+    """
+    listed = threads.groupBy("key").agg(F.min(F.struct("pos", "thread")).alias("t"))
+    claimed = candidates.join(listed, "key").groupBy("base", "score").agg(F.min("t").alias("t")).select("base", "score", "t.thread")
+    exact = F.col("score").try_cast("decimal(38,18)")
+    sums = claimed.groupBy("thread").agg(F.sum("score").alias("sum"), F.try_sum(exact).alias("exact"), F.count("score").alias("n"), F.count(exact).alias("held"))
+    total = sums.select("thread", F.when(F.col("n") == F.col("held"), F.col("exact").cast("double")).alias("exact"), "sum").select("thread", F.coalesce("exact", "sum").alias("total"))
     place = F.dense_rank().over(Window.orderBy(F.round("total", 9).desc(), "thread"))
     return claimed.join(F.broadcast(total.withColumn("place", place)), "thread")
 

@@ -110,3 +110,14 @@ def test_no_terms_no_scores(spark):
     assert {r.doc: r.score for r in L.okapi(docs, "id", F.col("t"), ["zzz"]).collect()} == {1: 0.0, 2: 0.0}
     with pytest.raises(ValueError):
         R.costs(make(spark, [("m", 1, 1)], "model string, chars_in int, tokens_out int"), spark.range(2000).select(F.col("id").alias("pos"), F.lit("x").alias("prefix"), F.lit(1.0).alias("per_in"), F.lit(1.0).alias("per_out")))
+
+
+def test_equal_groups_are_placed_by_name(spark):
+    # a and d hold many scores, whose sum as floating-point numbers isn't quite that of b and c
+    rows = [(k, "a", 900.1) for k in range(1000)] + [(1000, "b", 900100.0), (1001, "c", 1800200.0)] + [(2000 + k, "d", 1800.2) for k in range(1000)]
+    threads = make(spark, [(k, t, t) for k, t in enumerate("abcd")] + [(9, "z", t) for t in "abcd"], "pos long, thread string, key string")
+    placed = R.group_by_map(make(spark, rows, "base long, key string, score double"), threads)
+    assert sorted({(r.thread, r.place) for r in placed.collect()}) == [("a", 3), ("b", 4), ("c", 1), ("d", 2)]
+    assert placed.count() == 2002
+    huge = R.group_by_map(make(spark, [(1, "a", 1e30), (2, "b", 2e30)], "base long, key string, score double"), threads)
+    assert {(r.thread, r.place) for r in huge.collect()} == {("a", 2), ("b", 1)}
