@@ -196,14 +196,18 @@ def grade_counts(graded: DataFrame) -> DataFrame:
     return graded.groupBy("stem").agg(starts("keep").alias("kept"), starts("flag").alias("flagged"), starts("reject").alias("rejected"))
 
 
-def folio_offset(lines: DataFrame, least: int = 10, share: float = 0.6) -> DataFrame:
-    """doc, offset between page and printed number, where enough first and last lines agree."""
+def folio_offset(lines: DataFrame, least: int = 10, share: float = 0.6, digits: int = 4) -> DataFrame:
+    """doc, offset between page and printed number, where enough first and last lines agree.
+
+    Printed numbers have ``digits`` digits at most, 18 at the very most; books of over 9,999 pages need more than four.
+    """
     page = Window.partitionBy("doc", "page")
     live = lines.filter(X.strip(F.col("text")) != "")
     placed = live.withColumn("__a", F.row_number().over(page.orderBy("line"))).withColumn("__b", F.row_number().over(page.orderBy(F.col("line").desc())))
     times = (F.col("__a") <= 2).cast("int") + (F.col("__b") <= 2).cast("int")
     t = X.strip(F.col("text"))
-    folio = F.coalesce(F.nullif(F.regexp_extract(t, r"^(\d{1,4})\b(?:\s|$)", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"\s(\d{1,4})$", 1), F.lit(""))).cast("int")
+    number = rf"(\d{{1,{digits}}})"
+    folio = F.coalesce(F.nullif(F.regexp_extract(t, rf"^{number}\b(?:\s|$)", 1), F.lit("")), F.nullif(F.regexp_extract(t, rf"\s{number}$", 1), F.lit(""))).cast("int" if digits < 10 else "long")
     votes = placed.withColumn("n", times).withColumn("offset", F.col("page") - folio).filter("n > 0 and offset is not null")
     counts = votes.groupBy("doc", "offset").agg(F.sum("n").alias("n"), F.min(F.struct("page", "line")).alias("at"))
     order = Window.partitionBy("doc")

@@ -50,3 +50,22 @@ def test_labels(spark):
     rows = page([(0, "A Big Title", 0, 0, 60, 16, True), (1, "first line of text", 0, 30, 100, 10, False), (1, "and the next one", 0, 41, 100, 10, False), (1, "- item", 0, 52, 30, 10, False)])
     got = G.labels(spark.createDataFrame(rows, LINE)).orderBy("line").collect()
     assert [r.label for r in got] == ["HEAD", "PARA", "CONT", "LIST"]
+
+
+def test_printed_numbers_of_long_books(spark, tmp_path):
+    import duckdb
+
+    from quarry.operators import pages as P
+    from quarry.plans import layout
+    from tests.compare import difference
+
+    # book 2 has pages from 9,990 on, book 4 from 10 million on; both have over 9,999
+    rows = [(20 * (9990 + p) + 2, "old plate", 5) for p in range(40)] + [(20 * (10_000_000 + p) + 4, "hot bolt", 5) for p in range(40)]
+    part = spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = layout.folio_offsets(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == [(2, -5), (4, -5)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    assert difference(got, con, layout.FOLIOS) == ""
+    assert P.folio_offset(spark.createDataFrame([(1, 12000 + p, 0, str(12000 + p)) for p in range(20)], "doc long, page long, line long, text string")).count() == 0
